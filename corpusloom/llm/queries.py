@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_snapshots, piece_viterbi, quality_gbt, quality_llr, secret_scan, token_counts
+from . import chat_snapshots, html_density, ngram_join, piece_viterbi, quality_gbt, quality_llr, secret_scan, token_counts
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_content(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_viterbi.encode_pieces(table(spark, sf_dir, "documents"))
 
@@ -38,10 +46,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_token_counts,
         op3_quality_classifier,
         op4_quality_rules,
         op5_secret_scans,
+        op6_ngram_jaccard_join,
         op8_sentencepiece,
         op10_chat_formatting,
     )
@@ -49,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_llr.oracle(),
+    "op6_ngram_jaccard_join": ngram_join.oracle(),
     "op10_chat_formatting": chat_snapshots.ORACLE,
 }
