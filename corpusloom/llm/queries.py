@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_snapshots, html_density, ngram_join, piece_viterbi, quality_gbt, quality_llr, secret_scan, token_counts
+from . import ann_tree, chat_snapshots, html_density, ngram_join, piece_viterbi, quality_gbt, quality_llr, secret_scan, token_counts
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_viterbi.encode_pieces(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.maximal_conversations(table(spark, sf_dir, "conversations"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_secret_scans,
         op6_ngram_jaccard_join,
         op8_sentencepiece,
+        op9_nearest_neighbours,
         op10_chat_formatting,
     )
 }
