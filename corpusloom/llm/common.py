@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,19 +39,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a private one only where none is named."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get() if current.isDefined() else f"{tempfile.gettempdir()}/corpusloom-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoint into the cluster's shared folder; a private one only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/corpusloom-{uuid.uuid4().hex}")
+    """Checkpoint into the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage; the rows survive the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Run ``df`` once and cut its lineage; the rows survive the loss of executors.
+
+    The shuffle files behind it aren't needed any more; a collection on the driver
+    lets Spark remove them before the next step writes its own.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint()
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

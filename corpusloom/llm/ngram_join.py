@@ -51,12 +51,12 @@ def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def gram_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's word n-grams, for a batch of whole texts.
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a batch of whole texts, and where each text's begin; one more for the end.
 
     Words are runs of letters and digits, lower-cased; ASCII punctuation parts them.
-    A text of 1 to n-1 words has one gram, all its words; one without letters or
-    digits is taken as it is written, in runs without white space.
+    A text without letters or digits is taken as it is written, in runs without
+    white space.
     """
     raws = []
     for text in texts:
@@ -65,7 +65,7 @@ def gram_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
         raws.append(raw if not raw.isspace() else b" ".join(low.split()))
     data = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
     if not data.size:
-        return [np.empty(0, np.uint64) for _ in texts]
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     up, down = _power(len(data) + 1)
     solid = data != 32
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
@@ -73,7 +73,15 @@ def gram_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * up[: len(data)])])
     words = mix((total[last] - total[first]) * down[first])
     ends = np.cumsum([len(r) + 1 for r in raws])
-    at = np.concatenate([[0], np.searchsorted(first, ends)])
+    return words, np.concatenate([[0], np.searchsorted(first, ends)])
+
+
+def gram_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams of words, for a batch of whole texts.
+
+    A text of 1 to n-1 words has one gram, all its words; one without words has none.
+    """
+    words, at = word_hashes(texts)
     width = max(0, len(words) - n + 1)
     grams = words[:width].copy()
     for k in range(1, n):

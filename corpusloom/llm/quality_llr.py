@@ -22,7 +22,7 @@ PAIR = 31
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: Least mean log ratio that passes.
-THRESHOLD = -0.2
+THRESHOLD = -0.1
 
 _WORDS = Memo(lambda w: int.from_bytes(md5(w).digest()[:4]), 600_000)
 

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, chat_snapshots, html_density, ngram_join, piece_viterbi, quality_gbt, quality_llr, secret_scan, token_counts
+from . import (
+    ann_tree,
+    chat_snapshots,
+    html_density,
+    ngram_join,
+    packing,
+    piece_viterbi,
+    quality_gbt,
+    quality_llr,
+    secret_scan,
+    token_counts,
+)
 from .common import table
 
 
@@ -35,6 +46,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
+def op7_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_related(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_viterbi.encode_pieces(table(spark, sf_dir, "documents"))
 
@@ -56,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_quality_rules,
         op5_secret_scans,
         op6_ngram_jaccard_join,
+        op7_related_packing,
         op8_sentencepiece,
         op9_nearest_neighbours,
         op10_chat_formatting,
