@@ -127,7 +127,7 @@ def morphology_bundles(lexical: DataFrame, attributes: Sequence[str], top: int)
 def char_grams(docs: DataFrame, unit: Sequence[str], mode: str, n: int) -> DataFrame:
     """``unit..., gram, count, positions`` of the character stream of each document's whole text."""
     stream = docs.select(*unit, character_stream(F.col("text"), mode).alias("s")).filter(F.length("s") >= n)
-    grams = stream.select(*unit, F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - (n - 1)), lambda i: F.substring("s", i, F.lit(n)))).alias("gram"))
+    grams = stream.select(*unit, F.explode(F.regexp_extract_all("s", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)).alias("gram"))  # in one pass
     counts = grams.groupBy(*unit, "gram").agg(F.count("*").alias("count"))
     return counts.withColumn("positions", F.sum("count").over(Window.partitionBy(*unit)))
 

@@ -44,9 +44,9 @@ def distances(left: DataFrame, right: DataFrame, metric: str = "burrows_delta",
 
 
 def neighbors(vectors: DataFrame, metric: str = "burrows_delta", top: int = 5) -> DataFrame:
-    """``id_a, rank, id_b, score``: the nearest others of each observation, equals by id."""
+    """``id_a, rank, id_b, score``: the nearest others of each observation; scores that agree to 9 places count as equal and go by id."""
     scores = distances(vectors, vectors, metric)
-    best = F.col("score").desc() if metric == "cosine_similarity" else F.col("score").asc()
+    best = F.round("score", 9).desc() if metric == "cosine_similarity" else F.round("score", 9).asc()
     order = Window.partitionBy("id_a").orderBy(best, "id_b")
     return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("id_a", "rank", "id_b", "score")
 
