@@ -519,8 +519,9 @@ def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRES
     stays. Documents without a partner stay, rows without an id too.
     """
     pairs = jaccard_pairs(docs, n, threshold).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    gone = components(pairs).filter("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    name = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs has it
+    gone = components(pairs).filter("node <> root").select(F.col("node").alias(name))
+    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
