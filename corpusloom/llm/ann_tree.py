@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from .common import cut, mix
 
 #: Children of a node, vectors that a leaf should hold, leaves at most (centroids are broadcast: 16 MB at 64 dimensions).
-BRANCH = 16
+BRANCH = 32
 LEAF = 1024
 MAX_LEAVES = 65_536
-ROUNDS = 5
+#: Points below a node that one task clusters.
+LOCAL = 65_536
+ROUNDS = 3
 #: Recall to calibrate for, and the queries that calibrate it: those whose hashed id comes first.
 RECALL = 0.96
 CALIBRATION = 512
@@ -64,23 +66,40 @@ class Tree:
                 todo.append((kids[k], rows[to == k]))
         return at
 
+    def bounds(self, x: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Least possible distance of each row to a point below each node.
+
+        A point below a child is no farther from its centroid than from its
+        siblings', so it lies behind the plane halfway to the sibling nearest to the
+        row; and it lies within the child's radius.
+        """
+        low = np.maximum(far - self.radius, 0.0)
+        for node, kids in enumerate(self.children):
+            if kids:
+                c = self.centroid[kids].astype(np.float64)
+                d = far[:, kids]
+                own = d.argmin(1)
+                gap = np.sqrt(np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T, 0.0))[own]
+                behind = (d**2 - d.min(1)[:, None] ** 2) / np.maximum(2 * gap, 1e-12)
+                low[:, kids] = np.maximum(np.maximum(low[:, kids], behind), low[:, [node]])
+        return low
+
     def bins(self, x: np.ndarray, bound: np.ndarray, visits: int) -> list[list[int]]:
         """For each row the leaves to visit, nearest centroid first, none that can't hold a point within ``bound``."""
         out: list[list[int]] = []
-        square = (self.centroid**2).sum(1)
+        square = (self.centroid.astype(np.float64) ** 2).sum(1)
         for k in range(0, len(x), 256):
-            part = x[k : k + 256]
+            part = x[k : k + 256].astype(np.float64)
             far = np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + square - 2 * (part @ self.centroid.T)))
-            able = far - self.radius <= bound[k : k + 256, None] * 1.000001 + 1e-6
+            able = self.bounds(part, far) <= bound[k : k + 256, None] * 1.00001 + 1e-5
             for row, ok in zip(far, able):
-                row_of, ok_of = row.item, ok.item
+                open_, row_of = set(np.flatnonzero(ok).tolist()), row.item
                 queue, found = [(0.0, 0)], []
                 while queue and len(found) < visits:
                     _, node = heapq.heappop(queue)
                     if kids := self.children[node]:
-                        for kid in kids:
-                            if ok_of(kid):
-                                heapq.heappush(queue, (row_of(kid), kid))
+                        for kid in open_.intersection(kids):
+                            heapq.heappush(queue, (row_of(kid), kid))
                     else:
                         found.append(node)
                 out.append(found)
@@ -104,28 +123,105 @@ def _batches(batches: Iterator[pa.RecordBatch], dims: int, rows: int = 20_000) -
         yield np.concatenate(ids), np.concatenate(parts)
 
 
-def grow(points: DataFrame, dims: int, leaf: int = LEAF, branch: int = BRANCH) -> Tree:
-    """Tree over all rows of ``points(id, vec)``; ``vec`` is packed float32."""
+def _grow_here(ids: np.ndarray, x: np.ndarray, leaf: int, branch: int) -> Tree:
+    """The subtree over the points of one task."""
+    order = np.argsort(mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
+    x = x[order]
+    tree = Tree(np.zeros((1, x.shape[1]), np.float32))
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        if len(rows) <= 2 * leaf:
+            continue
+        part = x[rows]
+        b = min(branch, -(-len(rows) // leaf))
+        _, first = np.unique(part[: 64 * b], axis=0, return_index=True)
+        if len(first) < 2:
+            _, first = np.unique(part, axis=0, return_index=True)
+        if len(first) < 2:
+            continue  # all its vectors are equal
+        c = part[np.sort(first)[:b]].copy()
+        for k in range(ROUNDS + 1):
+            to = ((c**2).sum(1) - 2 * (part @ c.T)).argmin(1)
+            count = np.bincount(to, minlength=len(c))
+            if k < ROUNDS:
+                sums = np.stack([np.bincount(to, part[:, d], len(c)) for d in range(x.shape[1])], 1)
+                c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c).astype(np.float32)
+        if count.max() == len(rows):
+            continue
+        tree.add(node, c)
+        todo += [(kid, rows[to == i]) for i, kid in enumerate(tree.children[node])]
+    return tree
+
+
+def _grow_below(points: DataFrame, tree: Tree, dims: int, leaf: int, branch: int) -> None:
+    """Give each large leaf its subtree, grown by one task from all of the leaf's points."""
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+
+    def assign(batches):
+        for ids, x in _batches(batches, dims):
+            at = shared.value.descend(x)
+            keys = np.unique(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array([ids[at == n].tobytes() for n in keys], pa.binary()), pa.array([x[at == n].tobytes() for n in keys], pa.binary())],
+                names=["node", "ids", "vecs"],
+            )
+
+    def run(key, table):
+        ids = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in table.column("ids")])
+        below = _grow_here(ids, vectors_of(table.column("vecs"), dims), leaf, branch)
+        n = len(below.parent)
+        return pa.table(
+            [pa.array([key[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(below.parent, pa.int64()), pa.array([c.tobytes() for c in below.centroid], pa.binary())],
+            names=["node", "here", "parent", "vec"],
+        )
+
+    rows = points.mapInArrow(assign, "node bigint, ids binary, vecs binary").groupBy("node").applyInArrow(run, "node bigint, here bigint, parent bigint, vec binary")
+    found: dict[int, list] = {}
+    for r in rows.collect():
+        found.setdefault(r["node"], []).append(r)
+    for node in sorted(found):
+        place = {0: node}
+        below = sorted(found[node], key=lambda r: r["here"])
+        kids: dict[int, list] = {}
+        for r in below[1:]:
+            kids.setdefault(r["parent"], []).append(r)
+        for parent in sorted(kids):  # a node's number is greater than its parent's
+            tree.add(place[parent], np.stack([np.frombuffer(r["vec"], np.float32) for r in kids[parent]]))
+            place.update(zip((r["here"] for r in kids[parent]), tree.children[place[parent]]))
+
+
+def grow(points: DataFrame, dims: int, leaf: int = LEAF, branch: int = BRANCH, local: int = LOCAL) -> Tree:
+    """Tree over all rows of ``points(id, vec)``; ``vec`` is packed float32.
+
+    Nodes of more than ``local`` points are split by all tasks together, the others
+    are grown down by one task each. Leaves hold up to twice ``leaf`` points, or any
+    number of equal ones.
+    """
     sc = points.sparkSession.sparkContext
     total = points.count()
     leaf = max(leaf, -(-total // MAX_LEAVES))
+    local = max(local, 4 * leaf)
     tree = Tree(np.zeros((1, dims), np.float32), count=np.array([total]))
     ready: set[int] = set()
     while True:
-        split = {n: min(branch, -(-int(tree.count[n]) // leaf)) for n, kids in enumerate(tree.children) if not kids and n not in ready}
-        split = {n: b for n, b in split.items() if tree.count[n] > leaf and b > 1}
+        split = {n: min(branch, -(-2 * int(tree.count[n]) // local)) for n, kids in enumerate(tree.children) if not kids and n not in ready and tree.count[n] > local}
         if not split:
             break
         shared = sc.broadcast((tree, split))
 
         def seeds(batches):
             tree, split = shared.value
+            wanted = np.zeros(len(tree.children), np.int64)
+            wanted[list(split)] = [2 * b for b in split.values()]
             for ids, x in _batches(batches, dims):
-                at, order = tree.descend(x), mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                rows = [r for n, b in split.items() for r in _first(np.flatnonzero(at == n), order, b)]
-                if rows:
+                at, place = tree.descend(x), mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                order = np.lexsort((place, at))
+                start = np.searchsorted(at[order], at[order])
+                rows = order[np.arange(len(order)) - start < wanted[at[order]]]
+                if len(rows):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(at[rows]), pa.array(order[rows]), pa.array([x[r].tobytes() for r in rows], pa.binary())],
+                        [pa.array(at[rows]), pa.array(place[rows]), pa.array([x[r].tobytes() for r in rows], pa.binary())],
                         names=["node", "place", "vec"],
                     )
 
@@ -145,42 +241,39 @@ def grow(points: DataFrame, dims: int, leaf: int = LEAF, branch: int = BRANCH) -
                 break
             for n, (count, total_of, _) in sums.items():
                 tree.centroid[n] = total_of / count
-    tree.radius = np.zeros(len(tree.children))
-    for n, (_, _, radius) in statistics(points, tree, dims, list(range(len(tree.children)))).items():
-        tree.radius[n] = radius
+    _grow_below(points, tree, dims, leaf, branch)
+    tree.radius, tree.count = np.zeros(len(tree.children)), np.zeros(len(tree.children), np.int64)
+    for n, (count, _, radius) in statistics(points, tree, dims, list(range(len(tree.children)))).items():
+        tree.radius[n], tree.count[n] = radius, count
     return tree
 
 
-def _first(rows: np.ndarray, order: np.ndarray, b: int) -> list[int]:
-    return rows[np.argsort(order[rows], kind="stable")[: 2 * b]].tolist()
-
-
 def statistics(points: DataFrame, tree: Tree, dims: int, nodes: list[int]) -> dict[int, tuple[int, np.ndarray, float]]:
     """Count, vector sum and greatest distance from the centroid of each of ``nodes``, over all points below it."""
     shared = points.sparkSession.sparkContext.broadcast((tree, frozenset(nodes)))
 
     def add(batches):
-        tree, wanted = shared.value
-        found: dict[int, list] = {}
+        tree, chosen = shared.value
+        n = len(tree.children)
+        wanted, parent = np.zeros(n, bool), np.array(tree.parent)
+        wanted[list(chosen)] = True
+        count, total, far = np.zeros(n, np.int64), np.zeros((n, dims)), np.zeros(n)
         for _, x in _batches(batches, dims):
-            at = tree.descend(x)
-            for leaf in np.unique(at):
-                part, node = x[at == leaf].astype(np.float64), int(leaf)
-                total = part.sum(0)
-                while node >= 0:
-                    if node in wanted:
-                        far = float(np.sqrt(((part - tree.centroid[node]) ** 2).sum(1).max()))
-                        old = found.setdefault(node, [0, np.zeros(dims), 0.0])
-                        old[0], old[1], old[2] = old[0] + len(part), old[1] + total, max(old[2], far)
-                    node = tree.parent[node]
-        if found:
+            node, rows = tree.descend(x), np.arange(len(x))
+            while len(rows):
+                some = rows[wanted[node]]
+                if len(some):
+                    here, part = node[wanted[node]], x[some].astype(np.float64)
+                    count += np.bincount(here, minlength=n)
+                    for d in range(dims):
+                        total[:, d] += np.bincount(here, part[:, d], n)
+                    np.maximum.at(far, here, np.sqrt(((part - tree.centroid[here]) ** 2).sum(1)))
+                up = parent[node]
+                rows, node = rows[up >= 0], up[up >= 0]
+        seen = np.flatnonzero(count)
+        if len(seen):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(found), pa.int64()),
-                    pa.array([v[0] for v in found.values()], pa.int64()),
-                    pa.array([v[1].tolist() for v in found.values()], pa.list_(pa.float64())),
-                    pa.array([v[2] for v in found.values()], pa.float64()),
-                ],
+                [pa.array(seen), pa.array(count[seen]), pa.array(total[seen].tolist(), pa.list_(pa.float64())), pa.array(far[seen])],
                 names=["node", "n", "total", "far"],
             )
 
@@ -236,26 +329,18 @@ def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
 def _result_rows(query: np.ndarray, near: np.ndarray, far: np.ndarray, members: list[np.ndarray], k: int, buckets: int,
                  bound: np.ndarray | None = None):
     """(bucket, blob) rows with up to ``k`` candidates of each query; a vector stands for its first ids."""
-    q, n, d = [], [], []
-    single = all(len(m) == 1 for m in members)
-    if single:
-        firsts = np.array([m[0] for m in members], np.int64)
-        q, n, d = np.repeat(query, near.shape[1]), firsts[near].ravel(), far.ravel()
-        if bound is not None:
-            some = d <= np.repeat(bound, near.shape[1])
-            q, n, d = q[some], n[some], d[some]
-    else:
-        for i in range(len(query)):
-            left = k
-            for j, v in zip(near[i].tolist(), far[i].tolist()):
-                if left <= 0 or bound is not None and v > bound[i]:
-                    break
-                some = members[j][:k]  # all of one distance; merging puts them in order of id
-                q += [query[i]] * len(some)
-                n += some.tolist()
-                d += [v] * len(some)
-                left -= len(some)
-        q, n, d = np.array(q, np.int64), np.array(n, np.int64), np.array(d, np.float64)
+    firsts = [m[:k] for m in members]  # all of one distance; merging puts them in order of id
+    sizes = np.array([len(m) for m in firsts])
+    pool, start = np.concatenate(firsts), np.concatenate([[0], np.cumsum(sizes)])
+    flat = near.ravel()
+    q, d = np.repeat(query, near.shape[1]), far.ravel()
+    if bound is not None:
+        some = d <= np.repeat(bound, near.shape[1])
+        flat, q, d = flat[some], q[some], d[some]
+    times = sizes[flat]
+    ends = np.cumsum(times)
+    n = pool[np.repeat(start[flat] - (ends - times), times) + np.arange(ends[-1] if len(ends) else 0)]
+    q, d = np.repeat(q, times), np.repeat(d, times)
     to = _bucket(q, buckets)
     order = np.argsort(to, kind="stable")
     to, q, n, d = to[order], q[order], n[order], d[order]
