@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, mix, release
 
 #: Children of a node, vectors that a leaf should hold, leaves at most (centroids are broadcast: 16 MB at 64 dimensions).
 BRANCH = 32
@@ -461,6 +461,7 @@ def search(points: DataFrame, dims: int, k: int, leaf: int = LEAF, recall: float
             for n, some in going.items():
                 with_bound = np.concatenate([x[some], bound[some, None].astype(np.float32)], 1)
                 rows.append((_QUERIES, n, query[some].tobytes(), np.ascontiguousarray(with_bound).tobytes()))
+        release()
         return _table(rows)
 
     def visit(key, table):
@@ -472,6 +473,7 @@ def search(points: DataFrame, dims: int, k: int, leaf: int = LEAF, recall: float
             return _table([])
         near, far = nearest(np.ascontiguousarray(q[:, :dims]), x, k + 1)
         bound = q[:, dims].astype(np.float64) * 1.000001 + 1e-9
+        release()
         return _table([(_FOUND, b, blob, None) for b, blob in _result_rows(query, near, far, members, k + 1, buckets, bound)])
 
     def merge(key, table):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,28 @@ class Memo(dict):
         return value
 
 
+def release() -> None:
+    """Give memory that this worker process has freed back to the system.
+
+    Worker processes outlive their tasks; what their allocators keep counts against
+    the executor while others need it.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library, which keeps its own counsel
+    _trim = None
+
+
+def each_text(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
+    """Texts of an Arrow column one by one, so that a batch of them is never held twice."""
+    return (x.as_py() for x in column)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,37 +118,8 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     )
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-#: One per worker process; hashing a word again costs one lookup.
-WORD_HASHES = Memo(word_hash, 600_000)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that any bits of a hash can serve as its bucket."""
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
-
-
-def ngram_hashes(text: str, n: int) -> tuple[np.ndarray, int]:
-    """Sorted distinct 64-bit hashes of the word n-grams of the whole text, and its word count.
-
-    Words are split on ASCII white space. A text of 1 to n-1 words has one gram,
-    the whole text; a text without words has none.
-    """
-    words = text.encode("utf-8", "surrogatepass").split()
-    count = len(words)
-    if not count:
-        return np.empty(0, np.uint64), 0
-    h = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, count)
-    width = min(n, count)
-    g = h[: count - width + 1].copy()
-    for k in range(1, width):
-        g = g * _MULT + h[k : count - width + 1 + k]
-    return np.unique(mix(g)), count

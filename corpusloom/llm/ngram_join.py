@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, one_row_per_id
+from .common import cut, mix, one_row_per_id, release
 
 #: Words in an n-gram, and the least Jaccard index of a pair.
 N = 5
 THRESHOLD = 0.5
 #: Members of a linked group that one trie holds; larger groups are joined block by block, every block with every other.
-BLOCK = 512
+BLOCK = 256
 #: Grams that a task gathers before it sends them on.
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 
 # ------------------------------------------------------------------ hashes of whole texts
 
@@ -162,7 +162,7 @@ def _by_gram(n: int, buckets: int):
             while at < len(all_ids):
                 to, chars = at, 0
                 part = []
-                while to < len(all_ids) and (chars < 1 << 20 or not part):
+                while to < len(all_ids) and (chars < 1 << 18 or not part):
                     part.append(all_texts[to].as_py())
                     chars += len(part[-1] or "")
                     to += 1
@@ -177,6 +177,8 @@ def _by_gram(n: int, buckets: int):
                     ids, sets, held = [], [], 0
         if ids:
             yield flush(ids, sets)
+        ids, sets = [], []
+        release()
 
     return run
 
@@ -210,7 +212,10 @@ def _shared(buckets: int):
                 blobs.append(
                     _pack(doc[a:b][runs[:-1]], size[a:b][runs[:-1]], np.diff(runs), gram[a:b].tobytes() + held[a:b].tobytes())
                 )
-        return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        out = pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        del gram, held, doc, size, to, order, blobs
+        release()
+        return out
 
     return run
 
@@ -243,6 +248,7 @@ def _gather(threshold: float):
         rows = np.flatnonzero(np.diff(cuts) >= _least(threshold, sizes))
         sets = [gram[cuts[i] : cuts[i + 1]] for i in rows]
         whole = [s.tobytes() if len(s) == sizes[i] else None for s, i in zip(sets, rows)]
+        release()
         return pa.table(
             [
                 pa.array(doc[cuts[rows]], pa.int64()),
@@ -446,6 +452,7 @@ def _join_groups(threshold: float):
             side = None if first == second else [block[r] == first for r in rows]
             out += trie_pairs([doc[r] for r in rows], [size[r] for r in rows], sets, threshold, side)
         a, b, v = zip(*out) if out else ((), (), ())
+        release()
         return pa.table(
             [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64())], names=["doc_a", "doc_b", "jaccard"]
         )

@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one_row_per_id
+from .common import each_text, one_row_per_id, release
 
 #: Labelled documents that a fit may use; those whose hashed id comes first.
 MAX_TRAIN = 20_000
@@ -127,9 +127,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     return Trees(feature, threshold, leaf, 0.0)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _statistics(texts: pd.Series) -> pd.Series:
-    return pd.Series([statistics(t or "") for t in texts], dtype=object)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _statistics(texts: pa.Array) -> pa.Array:
+    return pa.array([statistics(t or "") for t in each_text(texts)], pa.list_(pa.float64()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +162,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
 def scorer(model: Trees):
     """A column function: text -> probability of good quality."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=float)
-        return pd.Series(model.score(np.array([statistics(t or "") for t in texts], float)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t or "") for t in each_text(texts)], float).reshape(-1, len(STATISTICS))
+        release()
+        return pa.array(model.score(x))
 
     return lambda text: score(F.col(text).cast("string"))
 

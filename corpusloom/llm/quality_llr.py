@@ -11,11 +11,11 @@ from __future__ import annotations
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, sized
+from .common import Memo, each_text, release, sized
 
 BUCKETS = 10_000
 PAIR = 31
@@ -24,7 +24,8 @@ SMOOTHING = 1.0
 #: Least mean log ratio that passes.
 THRESHOLD = -0.1
 
-_WORDS = Memo(lambda w: int.from_bytes(md5(w).digest()[:4]), 600_000)
+#: Hashes of the words of a batch; every worker process holds its own.
+_WORDS = Memo(lambda w: int.from_bytes(md5(w).digest()[:4]), 150_000)
 
 
 def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
@@ -55,17 +56,21 @@ def corpus_counts(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> tupl
     def add(parts):
         raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for part in parts:
-            for text, good in zip(part["text"], part["good"]):
+            for text, good in zip(each_text(part.column(0)), part.column(1).to_pylist()):
                 if text:
                     seen = np.bincount(buckets(text, n), minlength=n)
                     raw += seen
                     if good:
                         target += seen
+            _WORDS.clear()
+        release()
         some = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"]
+        )
 
     sums = (
-        rows.mapInPandas(add, "bucket int, raw bigint, target bigint")
+        rows.mapInArrow(add, "bucket int, raw bigint, target bigint")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         .collect()
@@ -87,13 +92,15 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING
 def scorer(ratios: np.ndarray):
     n = len(ratios)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts:
+        for text in each_text(texts):
             b = buckets(text, n)
             out.append(float(ratios[b].sum() / len(b)) if len(b) else None)
-        return pd.Series(out, dtype="Float64")
+        _WORDS.clear()
+        release()
+        return pa.array(out, pa.float64())
 
     return lambda text: score(F.col(text).cast("string"))
 

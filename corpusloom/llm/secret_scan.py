@@ -14,11 +14,13 @@ import binascii
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import each_text
+
 MASK = "[SECRET]"
 #: A run of fewer characters holds no key.
 LEAST = 20
@@ -217,14 +219,15 @@ _FOUND = T.ArrayType(
 )
 
 
-@F.pandas_udf(_FOUND)
-def _scan(texts: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("start", "end", "kind"), s)) for s in scan(t)] for t in texts], dtype=object)
+@F.arrow_udf(_FOUND)
+def _scan(texts: pa.Array) -> pa.Array:
+    form = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+    return pa.array([[dict(zip(("start", "end", "kind"), s)) for s in scan(t)] for t in each_text(texts)], form)
 
 
-@F.pandas_udf(T.StringType())
-def _masked(texts: pd.Series) -> pd.Series:
-    return pd.Series([masked(t) for t in texts], dtype=object)
+@F.arrow_udf(T.StringType())
+def _masked(texts: pa.Array) -> pa.Array:
+    return pa.array((masked(t) for t in each_text(texts)), pa.string())
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
