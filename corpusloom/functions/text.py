@@ -17,9 +17,13 @@ STREAMS = ("full", "no_punctuation", "letters_spaces", "letters_only")
 _SPACE = r"(?U)\s"
 
 
+#: All characters that count as white space at the ends of a string.
+_BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def folded_key(c: Column) -> Column:

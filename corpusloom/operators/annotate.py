@@ -7,6 +7,8 @@ from text to sentences of tokens and runs it in Arrow batches, chunk by chunk.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,8 @@ CLOSED = {
     "PRON": "he it i you we they il elle je ich er sie yo que qui".split(),
     "AUX": "is are be was were est sont ist sind es son".split(),
 }
-SUFFIXES = {"VERB": "(ing|ed|er|en|ar|ir)$", "ADJ": "(ble|ous|ive|lich|eux)$", "ADV": "(ly|ment)$"}
+ENDINGS = {"VERB": ("ing", "ed", "er", "en", "ar", "ir"), "ADJ": ("ble", "ous", "ive", "lich", "eux"), "ADV": ("ly", "ment")}
+SUFFIXES = {tag: f"({'|'.join(ends)})$" for tag, ends in ENDINGS.items()}
 
 
 def upos_of(token: Column, index: Column) -> Column:
@@ -33,21 +36,21 @@ def upos_of(token: Column, index: Column) -> Column:
     for tag, words in CLOSED.items():
         out = out.when(low.isin(words), tag)
     out = out.when((index > 0) & token.rlike("^\\p{Lu}"), "PROPN")
-    for tag, pattern in SUFFIXES.items():
-        out = out.when(low.rlike(pattern), tag)
+    for tag, ends in ENDINGS.items():  # plain comparisons: a pattern for each token and tag would cost far more
+        out = out.when(reduce(or_, (low.endswith(e) for e in ends)), tag)
     return out.otherwise("NOUN")
 
 
 def lemma_of(token: Column) -> Column:
     """Lower case; a longer word loses its final s."""
     low = F.lower(token)
-    return F.when(F.length(low) > 4, F.regexp_replace(low, "s$", "")).otherwise(low)
+    return F.when((F.length(low) > 4) & low.endswith("s"), F.left(low, F.length(low) - 1)).otherwise(low)
 
 
 def feats_of(token: Column, upos: Column) -> Column:
     low = F.lower(token)
     number = F.when(low.endswith("s"), "Number=Plur").otherwise("Number=Sing")
-    case = F.when(low.rlike("[aeiou]$"), "Case=Nom").otherwise("Case=Acc")
+    case = F.when(F.right(low, F.lit(1)).isin(*"aeiou"), "Case=Nom").otherwise("Case=Acc")
     return F.when(upos.isin("NOUN", "PROPN"), F.concat_ws("|", case, number)).when(upos == "VERB", "VerbForm=Fin").otherwise("")
 
 

@@ -15,7 +15,7 @@ from ..functions.text import character_stream, normalize_text, roman
 from ..operators import annotate as an
 from ..operators import cleaning, counts, features, keyness, sequences, stability, stylometry
 from ..operators.tokens import lexical, with_inclusion
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from .sql import CONFIG_TOKENS, after, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -24,6 +24,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a small table has fewer parts than there are cores; larger ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def text_files(spark: SparkSession, groups: Mapping[str, str | list[str]]) -> DataFrame:
     """``group, path, text``, a row per file of each group's globs; a file that isn't UTF-8 is an error."""
     out = None
