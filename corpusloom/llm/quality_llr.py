@@ -132,9 +132,13 @@ def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRE
 
 
 def keep_likely(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS,
-                smoothing: float = SMOOTHING) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`score_documents` keeps."""
-    score = scorer(log_ratios(*corpus_counts(docs, trusted, n), smoothing))
+                smoothing: float = SMOOTHING, raw: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`score_documents` keeps.
+
+    Both multinomials are counted over ``raw``, the corpus as it was before any
+    filter; without it ``docs`` is taken for that.
+    """
+    score = scorer(log_ratios(*corpus_counts(docs if raw is None else raw, trusted, n), smoothing))
     return docs.filter(F.round(score("text"), 6) >= threshold)
 
 

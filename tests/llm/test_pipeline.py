@@ -26,3 +26,16 @@ def test_empty_documents(spark, small):
         docs = stage(spark, docs, small)
         docs = spark.createDataFrame([], docs.schema)
     assert docs.count() == 0
+
+
+def test_quality_rules_reject_bad_documents_among_clean_ones(spark, tmp_path):
+    """The ratio is taken against the raw documents, not against what the classifier has cleaned already."""
+    junk = "click here "
+    good = [(i, f"prose of number {i % 7} goes on and says what it means to say in its own words " * 4 + junk * 3, "x") for i in range(40)]
+    bad = [(100 + i, junk * 50, "x") for i in range(200)]
+    form = "doc_id bigint, text string, lang string"
+    spark.createDataFrame(good + bad, form).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i, _, _ in good], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    planted = [(150, junk * 5, "x")]
+    kept = dict(corpus_pipeline.STAGES)["quality_rules"](spark, spark.createDataFrame(good + planted, form), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, _ in good]
