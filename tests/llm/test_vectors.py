@@ -1,6 +1,7 @@
 """Nearest neighbours and packing against brute force."""
 
 import numpy as np
+import pyarrow as pa
 
 from corpusloom.llm import ann_tree, packing
 
@@ -73,6 +74,19 @@ def test_cells_split_and_nothing_packs_to_nothing(spark, monkeypatch):
     assert [w["doc_ids"] for w in packing.pack_related(docs.limit(1)).collect()] == [[0]]
 
 
+def test_neighbours_are_those_of_the_whole_vectors(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_LEAF", 100)
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"t{w}" for w in rng.integers(0, 400, 80))) for i in range(500)]
+    caught = []
+    monkeypatch.setattr(packing, "search", lambda *a: caught.append(ann_tree.search(*a)) or caught[0])
+    packing.pack_related(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    blobs = [c for b in packing._counts(iter([pa.record_batch([[i for i, _ in docs], [t for _, t in docs]], ["doc_id", "text"])])) for c in b.column(2)]
+    want = brute(range(500), packing._unit(blobs), packing.NEIGHBOURS)
+    got = {r["id"]: r["neighbors"] for r in caught[0][0].collect()}
+    assert np.mean([len(set(got[i]) & set(want[i])) / packing.NEIGHBOURS for i in want]) >= 0.9
+
+
 def test_walk_starts_low_and_goes_to_the_nearest():
     ids = np.array([10, 11, 12, 13])
     near = [np.array([11]), np.array([12, 10]), np.array([11, 13]), np.array([12])]
