@@ -549,3 +549,19 @@ pairs AS (
   FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
 SELECT doc_a, doc_b, round(j, 6) AS jaccard FROM pairs WHERE j >= {threshold} - 1e-9
 UNION ALL SELECT rep, doc_id, 1.0 FROM reps WHERE rep <> doc_id"""
+
+
+def all_pairs_oracle(n: int = N, threshold: float = THRESHOLD) -> str:
+    """The whole join in SQL, every document held against every other that shares an n-gram."""
+    return f"""
+WITH docs AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+low AS (SELECT doc_id, lower(text) AS raw, regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]', ' ', 'g') AS kept FROM docs),
+words AS (
+  SELECT doc_id, regexp_extract_all(CASE WHEN kept ~ '^ *$' THEN raw ELSE kept END, '[^ \\t\\n\\x0b\\x0c\\r]+') AS w FROM low),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT doc_a, doc_b, k / (x.size + y.size - k) AS j FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b)
+SELECT doc_a, doc_b, round(j, 6) AS jaccard FROM pairs WHERE j >= {threshold} - 1e-9"""

@@ -107,3 +107,20 @@ def test_same_as_sql(spark, small, sql):
 
     name = "op6_ngram_jaccard_join"
     assert rows_of(queries.QUERIES[name](spark, small).toPandas()) == rows_of(sql.execute(queries.ORACLES[name]).df())
+
+
+def test_registered_join_gives_all_pairs(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(0, text), (1, text), (2, text), (3, text + " more"), (4, text + " more"), (5, "quite another text of its own here")]
+    spark.createDataFrame(rows, FORM).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "op6_ngram_jaccard_all_pairs"
+    got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert {(a, b) for a, b in zip(got.doc_a, got.doc_b)} == {(a, b) for a in range(5) for b in range(a + 1, 5)} and len(got) == 10
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert rows_of(got) == rows_of(con.execute(queries.ORACLES[name]).df())
