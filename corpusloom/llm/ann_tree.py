@@ -88,10 +88,11 @@ class Tree:
         """For each row the leaves to visit, nearest centroid first, none that can't hold a point within ``bound``."""
         out: list[list[int]] = []
         square = (self.centroid.astype(np.float64) ** 2).sum(1)
-        for k in range(0, len(x), 256):
-            part = x[k : k + 256].astype(np.float64)
+        step = max(1, 4_000_000 // max(1, len(self.children)))  # rows whose distances to all nodes are held at once
+        for k in range(0, len(x), step):
+            part = x[k : k + step].astype(np.float64)
             far = np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + square - 2 * (part @ self.centroid.T)))
-            able = self.bounds(part, far) <= bound[k : k + 256, None] * 1.00001 + 1e-5
+            able = self.bounds(part, far) <= bound[k : k + step, None] * 1.00001 + 1e-5
             for row, ok in zip(far, able):
                 open_, row_of = set(np.flatnonzero(ok).tolist()), row.item
                 queue, found = [(0.0, 0)], []
@@ -123,6 +124,15 @@ def _batches(batches: Iterator[pa.RecordBatch], dims: int, rows: int = 20_000) -
         yield np.concatenate(ids), np.concatenate(parts)
 
 
+def _first_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows that hold one of the ``k`` least ids of their vector."""
+    rows = np.ascontiguousarray(x).view(np.dtype((np.void, 4 * x.shape[1]))).ravel()
+    _, code = np.unique(rows, return_inverse=True)
+    order = np.lexsort((ids, code))
+    start = np.searchsorted(code[order], code[order])
+    return np.sort(order[np.arange(len(order)) - start < k])
+
+
 def _grow_here(ids: np.ndarray, x: np.ndarray, leaf: int, branch: int) -> Tree:
     """The subtree over the points of one task."""
     order = np.argsort(mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
@@ -160,6 +170,8 @@ def _grow_below(points: DataFrame, tree: Tree, dims: int, leaf: int, branch: int
 
     def assign(batches):
         for ids, x in _batches(batches, dims):
+            some = _first_of_equals(ids, x, 1)  # a leaf may hold any number of equal vectors
+            ids, x = ids[some], x[some]
             at = shared.value.descend(x)
             keys = np.unique(at)
             yield pa.RecordBatch.from_arrays(
@@ -360,7 +372,9 @@ def _table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
     )
 
 
-_POINTS, _QUERIES, _FOUND, _MEMBERS = 0, 1, 2, 3
+_POINTS, _QUERIES, _FOUND = 0, 1, 2
+#: Rows of a leaf (equal ones, if there are so many) for which one task searches.
+_PART = 262_144
 
 
 def calibrate(points: DataFrame, tree: Tree, dims: int, k: int, recall: float = RECALL, sample: int = CALIBRATION) -> int:
@@ -409,120 +423,113 @@ def calibrate(points: DataFrame, tree: Tree, dims: int, k: int, recall: float =
     return visits
 
 
-def search(points: DataFrame, dims: int, k: int, leaf: int = LEAF, recall: float = RECALL, sample: int = CALIBRATION,
-           tree: Tree | None = None) -> tuple[DataFrame, Tree]:
-    """``id, leaf, neighbors, distances`` of every row of ``points(id, vec)``, ids unique; and the tree.
+def search(points: DataFrame, queries: DataFrame, dims: int, k: int, leaf: int = LEAF, recall: float = RECALL,
+           sample: int = CALIBRATION) -> DataFrame:
+    """``id, neighbors, distances`` of every row of ``queries(id, vec)`` among ``points(id, vec)``, ids unique.
 
-    Neighbours exclude the row itself, nearest first, equals by id. Equal vectors
-    are searched as one.
+    Neighbours exclude the query's own id, nearest first, equals by id. Of equal
+    points no more than the ``k + 1`` least ids of each task's share are sent on, as
+    no query can need more of them; queries of a leaf that holds very many equal
+    points are spread over tasks, the points given to each.
     """
     spark = points.sparkSession
-    tree = tree or grow(points, dims, leaf)
+    tree = grow(points, dims, leaf)
     visits = calibrate(points, tree, dims, k, recall, sample)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(tree)
+    shared, nodes = spark.sparkContext.broadcast(tree), len(tree.children)
+    parts = np.maximum(1, tree.count // _PART)
+
+    def part_of(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Key of each query at its leaf: the leaf, and the share of its queries."""
+        return at + nodes * (mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % parts[at].astype(np.uint64)).astype(np.int64)
 
     def assign(batches):
         tree = shared.value
         for ids, x in _batches(batches, dims):
+            some = _first_of_equals(ids, x, k + 1)
+            ids, x = ids[some], x[some]
             at = tree.descend(x)
-            rows = [(_POINTS, int(n), ids[at == n].tobytes(), x[at == n].tobytes()) for n in np.unique(at)]
-            yield from _table(rows).to_batches()
+            for n in np.unique(at).tolist():
+                blob, vecs = ids[at == n].tobytes(), x[at == n].tobytes()
+                yield from _table([(_POINTS, n + nodes * i, blob, vecs) for i in range(int(parts[n]))]).to_batches()
 
-    def unpack(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        kinds = table.column("kind").to_numpy()
-        blobs, extras, ids, x = table.column("blob"), table.column("extra"), [np.empty(0, np.int64)], [np.empty((0, dims), np.float32)]
-        for i in np.flatnonzero(kinds == kind).tolist():
-            ids.append(np.frombuffer(blobs[i].as_buffer(), np.int64))
-            x.append(np.frombuffer(extras[i].as_buffer(), np.float32).reshape(len(ids[-1]), -1))
-        return np.concatenate(ids), (np.concatenate(x[1:]) if len(x) > 1 else x[0])
-
-    def home(key, table):
-        """Search of the own leaf; then the queries that go on to others."""
+    def ask(batches):
         tree = shared.value
-        own = key[0].as_py()
-        x, members = distinct(*unpack(table, _POINTS))
-        query = np.array([m[0] for m in members], np.int64)
-        near, far = nearest(x, x, k + 1)
-        rows = [(_FOUND, b, blob, None) for b, blob in _result_rows(query, near, far, members, k + 1, buckets)]
-        to = _bucket(query, buckets)
-        for b in np.unique(to).tolist():
-            some = np.flatnonzero(to == b)
-            sizes = np.array([own, *(len(members[i]) for i in some)], np.int64)
-            rows.append((_MEMBERS, b, sizes.tobytes(), np.concatenate([members[i] for i in some]).tobytes()))
-        if visits > 1 and len(tree.children) > 1:
-            held = np.array([sum(len(members[j]) for j in r) for r in near]) if far.shape[1] < k + 1 else None
-            bound = far[:, -1] if held is None else np.where(held > k, far[:, -1], np.inf)
-            going: dict[int, list[int]] = {}
-            for i, leaves in enumerate(tree.bins(x, bound, visits)):
-                for n in leaves if own in leaves else leaves[: visits - 1]:
-                    if n != own:
-                        going.setdefault(n, []).append(i)
-            for n, some in going.items():
-                with_bound = np.concatenate([x[some], bound[some, None].astype(np.float32)], 1)
-                rows.append((_QUERIES, n, query[some].tobytes(), np.ascontiguousarray(with_bound).tobytes()))
-        release()
-        return _table(rows)
+        for ids, x in _batches(batches, dims):
+            key = part_of(ids, tree.descend(x))
+            free = np.concatenate([x, np.full((len(x), 1), np.inf, np.float32)], 1)
+            yield from _table([(_QUERIES, n, ids[key == n].tobytes(), free[key == n].tobytes()) for n in np.unique(key).tolist()]).to_batches()
+
+    def unpack(table: pa.Table, kind: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        blobs, extras, ids, x = table.column("blob"), table.column("extra"), [np.empty(0, np.int64)], [np.empty((0, width), np.float32)]
+        for i in np.flatnonzero(table.column("kind").to_numpy() == kind).tolist():
+            ids.append(np.frombuffer(blobs[i].as_buffer(), np.int64))
+            x.append(np.frombuffer(extras[i].as_buffer(), np.float32).reshape(-1, width))
+        return np.concatenate(ids), np.concatenate(x)
 
-    def visit(key, table):
-        query, q = unpack(table, _QUERIES)
+    def visit(table: pa.Table, going: bool) -> pa.Table:
+        """What the queries find in a leaf; with ``going``, the queries that go on to others too."""
+        query, q = unpack(table, _QUERIES, dims + 1)
         if not len(query):
             return _table([])
-        x, members = distinct(*unpack(table, _POINTS))
-        if not len(x):
-            return _table([])
-        near, far = nearest(np.ascontiguousarray(q[:, :dims]), x, k + 1)
-        bound = q[:, dims].astype(np.float64) * 1.000001 + 1e-9
+        x, bound = np.ascontiguousarray(q[:, :dims]), q[:, dims].astype(np.float64) * 1.000001 + 1e-9
+        p, members = distinct(*unpack(table, _POINTS, dims))
+        rows = []
+        if len(p):
+            near, far = nearest(x, p, k + 1)
+            rows = [(_FOUND, b, blob, None) for b, blob in _result_rows(query, near, far, members, k + 1, buckets, bound)]
+        if going and visits > 1 and nodes > 1:
+            if len(p):
+                held = np.cumsum(np.array([len(m) for m in members])[near], 1)  # the query itself may be among them
+                enough = held > k
+                first = enough.argmax(1)
+                bound = np.where(enough.any(1), far[np.arange(len(far)), first], np.inf)
+            else:
+                bound = np.full(len(x), np.inf)
+            own = shared.value.descend(x)
+            to: dict[int, list[int]] = {}
+            for i, leaves in enumerate(shared.value.bins(x, bound, visits)):
+                for n in leaves if own[i] in leaves else leaves[: visits - 1]:
+                    if n != own[i]:
+                        to.setdefault(n, []).append(i)
+            for n, some in to.items():
+                key = part_of(query[some], np.full(len(some), n))
+                with_bound = np.concatenate([x[some], np.nextafter(bound[some, None].astype(np.float32), np.float32(np.inf))], 1)
+                for one in np.unique(key).tolist():
+                    mine = key == one
+                    rows.append((_QUERIES, one, query[some][mine].tobytes(), np.ascontiguousarray(with_bound[mine]).tobytes()))
         release()
-        return _table([(_FOUND, b, blob, None) for b, blob in _result_rows(query, near, far, members, k + 1, buckets, bound)])
+        return _table(rows)
 
     def merge(key, table):
-        kinds, blobs, extras = table.column("kind").to_numpy(), table.column("blob"), table.column("extra")
         q, n, d = [], [], []
-        members: dict[int, tuple[int, np.ndarray]] = {}
-        for i, kind in enumerate(kinds.tolist()):
-            raw = blobs[i].as_buffer()
-            if kind == _FOUND:
-                m = raw.size // 24
-                q.append(np.frombuffer(raw, np.int64, m))
-                n.append(np.frombuffer(raw, np.int64, m, 8 * m))
-                d.append(np.frombuffer(raw, np.float64, m, 16 * m))
-            else:
-                sizes, ids = np.frombuffer(raw, np.int64), np.frombuffer(extras[i].as_buffer(), np.int64)
-                for part in np.split(ids, np.cumsum(sizes[1:])[:-1]):
-                    members[int(part[0])] = int(sizes[0]), part
+        for blob in table.column("blob"):
+            raw = blob.as_buffer()
+            m = raw.size // 24
+            q.append(np.frombuffer(raw, np.int64, m))
+            n.append(np.frombuffer(raw, np.int64, m, 8 * m))
+            d.append(np.frombuffer(raw, np.float64, m, 16 * m))
         q, n, d = np.concatenate(q), np.concatenate(n), np.concatenate(d)
+        other = q != n
+        q, n, d = q[other], n[other], d[other]
         order = np.lexsort((n, d, q))
         q, n, d = q[order], n[order], d[order]
-        cuts = np.concatenate([np.flatnonzero(np.diff(q, prepend=q[0] - 1)), [len(q)]])
-        ids, leaves, sizes, near, far = [], [], [0], [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            leaf, group = members[int(q[a])]
-            b = min(b, a + k + 1)
-            names, away = n[a:b], d[a:b]
-            for one in group.tolist():
-                some = names != one
-                ids.append(one)
-                leaves.append(leaf)
-                near.append(names[some][:k])
-                far.append(away[some][:k])
-                sizes.append(len(near[-1]))
-        offsets = pa.array(np.cumsum(sizes), pa.int32())
+        start = np.searchsorted(q, q)
+        some = np.arange(len(q)) - start < k
+        q, n, d = q[some], n[some], d[some]
+        ids, sizes = np.unique(q, return_counts=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         return pa.table(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(leaves, pa.int64()),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(near))),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(far))),
-            ],
-            names=["id", "leaf", "neighbors", "distances"],
+            [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.ListArray.from_arrays(offsets, pa.array(d))],
+            names=["id", "neighbors", "distances"],
         )
 
     cells = cut(points.mapInArrow(assign, _ROWS))
-    first = cut(cells.groupBy("key").applyInArrow(home, _ROWS))
-    second = cells.unionByName(first.filter(f"kind = {_QUERIES}")).groupBy("key").applyInArrow(visit, _ROWS)
-    found = first.filter(f"kind >= {_FOUND}").unionByName(second).groupBy("key")
-    return found.applyInArrow(merge, "id bigint, leaf bigint, neighbors array<bigint>, distances array<double>"), tree
+    asked = queries.mapInArrow(ask, _ROWS)
+    first = cut(cells.unionByName(asked).groupBy("key").applyInArrow(lambda table: visit(table, True), _ROWS))
+    second = cells.unionByName(first.filter(f"kind = {_QUERIES}")).groupBy("key").applyInArrow(lambda table: visit(table, False), _ROWS)
+    found = first.filter(f"kind = {_FOUND}").unionByName(second).groupBy("key")
+    return found.applyInArrow(merge, "id bigint, neighbors array<bigint>, distances array<double>")
 
 
 def packed(rows: DataFrame, dims: int) -> DataFrame:
@@ -542,12 +549,14 @@ def packed(rows: DataFrame, dims: int) -> DataFrame:
     return rows.mapInArrow(pack, "id bigint, vec binary")
 
 
-def neighbours(rows: DataFrame, k: int = 10, leaf: int = LEAF, recall: float = RECALL, sample: int = CALIBRATION) -> DataFrame:
-    """``vec_id, rank, neighbor_id, distance``: the ``k`` nearest of every row of ``rows(vec_id, embedding)``.
+def neighbours(rows: DataFrame, k: int = 10, every: int = 1, leaf: int = LEAF, recall: float = RECALL,
+               sample: int = CALIBRATION) -> DataFrame:
+    """``vec_id, rank, neighbor_id, distance``: the ``k`` nearest among all of ``rows(vec_id, embedding)``.
 
-    Euclidean distance, rounded to 6 places; rank 1 is nearest, equals by id; a row
-    is not its own neighbour. The recall against brute force is calibrated on
-    ``sample`` queries to be at least ``recall``. Rows without an id or with a null,
+    Queries are the rows whose id is divisible by ``every``; every row is in the
+    index. Euclidean distance, rounded to 6 places; rank 1 is nearest, equals by id;
+    a row is not its own neighbour. The recall against brute force is calibrated on
+    ``sample`` rows to be at least ``recall``. Rows without an id or with a null,
     non-finite or odd-sized embedding (the commonest size counts, the least of
     equals) are left out; repeated rows count once, of several embeddings of one id
     the greatest. Other columns are dropped. Fewer than ``k`` other rows give as many
@@ -559,7 +568,7 @@ def neighbours(rows: DataFrame, k: int = 10, leaf: int = LEAF, recall: float = R
     dims = sizes["dims"] if sizes else 1
     unique = rows.filter(F.size("embedding") == dims).groupBy("id").agg(F.max("embedding").alias("embedding"))
     points = cut(packed(unique, dims))
-    found, _ = search(points, dims, k, leaf, recall, sample)
+    found = search(points, points.filter(F.col("id") % every == 0), dims, k, leaf, recall, sample)
     return found.select(F.col("id").alias("vec_id"), F.posexplode(F.arrays_zip("neighbors", "distances")).alias("pos", "x")).select(
         "vec_id",
         (F.col("pos") + 1).cast("bigint").alias("rank"),

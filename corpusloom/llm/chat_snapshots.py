@@ -49,8 +49,8 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     then role, then text. Repeated rows count once. Null role or text is the empty
     string; rows without conv_id or turn are left out. Of equal conversations the
     least conv_id stays; ``n_collapsed`` counts the others equal to it. Other
-    columns are dropped; no turns give no rows. One shuffle groups the turns; the
-    anti-join and the count carry hashes only.
+    columns are dropped; no turns give no rows. One shuffle groups the turns, and the
+    last join keeps that grouping; the anti-join and the count carry hashes only.
     """
     convs = snapshots(turns).withColumn("_whole", F.element_at("_hashes", -1))
     prefixes = convs.select(
@@ -64,7 +64,7 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
         ),
         "",
     )
-    return convs.join(kept, ["conv_id", "_whole"]).select(
+    return convs.join(kept.select("conv_id", "n_collapsed"), "conv_id").select(
         "conv_id", F.size("_turns").cast("bigint").alias("n_turns"), "n_collapsed", text.alias("text")
     )
 

@@ -63,11 +63,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is named."""
+    """The cluster's shared folder; a private one only where none is named and all runs on this machine."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get() if current.isDefined() else f"{tempfile.gettempdir()}/corpusloom-{uuid.uuid4().hex}"
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/corpusloom-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -104,7 +114,8 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     """Rows with a doc_id, one for each.
 
     Repeated rows collapse. Where one doc_id carries several texts, the row with
-    the greatest text is taken. Only the repeated ids are shuffled with their text.
+    the greatest text is taken, of equal texts the greatest in the other columns (any,
+    if one is of a type without an order). Only repeated ids are shuffled with their text.
     """
     docs = docs.filter(F.col("doc_id").isNotNull())
     again = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -112,7 +123,9 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
         return docs
     again = sized(again)
     row = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    chosen = docs.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.max(row).alias("_row"))
+    ordered = not any(kind in t for _, t in docs.dtypes for kind in ("map<", "variant"))
+    pick = F.max(row) if ordered else F.max_by(row, "text")
+    chosen = docs.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(pick.alias("_row"))
     return docs.join(again, "doc_id", "left_anti").unionByName(
         chosen.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     )

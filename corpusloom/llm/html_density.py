@@ -17,12 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>",
-    re.S,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])|</{t}\Z", re.I) for t in ("script", "style", "template", "noscript", "svg")}
 _BLOCK = frozenset(
@@ -43,8 +39,38 @@ _ENDS_P = frozenset(
 _SPACE = re.compile(r"\s+")
 
 
+_LONG_CODE = re.compile(r"&#[0-9]{20,};?")
+
+
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Place behind the ``>`` that ends a tag: the first outside quotes, else the first at all."""
+    first, tried = at, []
+    while m := _STOP.search(html, at):
+        if m[0] == ">":
+            return m.end()
+        if m.start() in dead:
+            break
+        tried.append(m.start())
+        end = html.find(m[0], m.end())
+        if end < 0:
+            break
+        at = end + 1
+    dead.update(tried)
+    return html.find(">", first) + 1
+
+
+def _plain(raw: str) -> str:
+    """Character references read, white space collapsed; a code of 20 digits or more is no character."""
+    return _SPACE.sub(" ", unescape(_LONG_CODE.sub("\ufffd", raw) if "&#" in raw else raw))
+
+
 class Page:
-    """Elements of one page in document order; element 0 stands above all."""
+    """Elements of one page in document order; element 0 stands above all.
+
+    Reading is linear in the page's length, however broken it is: behind the last
+    ``>`` all is text, a quote that was once found to lead nowhere isn't followed
+    again, and open elements are looked up by name.
+    """
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent = ["#page"], [-1]
@@ -54,60 +80,77 @@ class Page:
 
     def _parse(self, html: str) -> None:
         tag, parent, runs = self.tag, self.parent, self.runs
-        open_, at, size = [0], 0, len(html)
-        while at < size:
-            m = _TAG.search(html, at)
-            start = m.start() if m else size
-            if start > at:
-                runs.append((open_[-1], html[at:start]))
-            if not m:
+        open_, size, last = [0], len(html), html.rfind(">")
+        places: dict[str, list[int]] = {}  # name -> its places in open_, rising
+        dead: set[int] = set()  # quotes that open nothing
+
+        def close(k: int) -> None:
+            while len(open_) > k:
+                places[tag[open_.pop()]].pop()
+
+        def top(names) -> int:
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+        at = begun = 0
+        floor = 0  # an end tag reaches no further down than the body
+        while True:
+            start = html.find("<", at)
+            if start < 0 or (start > last and not html.startswith(("<!--", "<![CDATA["), start)):
                 break
-            at = m.end()
-            if m["data"] is not None:
-                runs.append((open_[-1], m["data"]))
+            name, data = "", None
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4) + 3
+                at = end if end > 2 else size
+            elif html.startswith("<![CDATA[", start):
+                end = html.find("]]>", start + 9)
+                data = html[start + 9 : end if end >= 0 else size]
+                at = end + 3 if end >= 0 else size
+            elif html[start + 1 : start + 2] in ("!", "?"):
+                at = html.find(">", start) + 1
+            elif m := _NAME.match(html, start):
+                name, at = m[1].lower(), _tag_end(html, m.end(), dead)
+            else:
+                at = start + 1
                 continue
-            name = (m["name"] or m["name2"] or "").lower()
+            if start > begun:
+                runs.append((open_[-1], html[begun:start]))
+            begun = at
+            if data is not None:
+                runs.append((open_[-1], data))
             if not name:
                 continue
-            if m["end"] or m["end2"]:
-                if name in ("body", "html"):
-                    continue
-                for k in range(len(open_) - 1, 0, -1):
-                    if tag[open_[k]] == name:
-                        del open_[k:]
-                        break
-                    if tag[open_[k]] == "body":
-                        break
+            if html[start + 1] == "/":
+                if name not in ("body", "html") and places.get(name) and places[name][-1] > floor:
+                    close(places[name][-1])
                 continue
             if name in _CLOSES:
                 ended, within = _CLOSES[name]
-                for k in range(len(open_) - 1, 0, -1):
-                    if tag[open_[k]] in ended:
-                        del open_[k:]
-                    elif tag[open_[k]] in within:
-                        break
+                while (k := top(ended)) > top(within):
+                    close(k)
             elif name in _ENDS_P and tag[open_[-1]] == "p":
-                open_.pop()
+                close(len(open_) - 1)
             if name == "body" and self.body:
                 continue
             node = len(tag)
             tag.append(name)
             parent.append(open_[-1])
             if name == "body":
-                self.body = node
+                self.body, floor = node, len(open_)
             if name in _RAW:
                 end = _RAW[name].search(html, at)
-                stop = end.start() if end else size
-                close = html.find(">", stop) if end else -1
-                at = close + 1 if close >= 0 else size
-            elif name not in _VOID and not m[0].endswith("/>"):
+                stop = html.find(">", end.start()) if end else -1
+                at = begun = stop + 1 if stop >= 0 else size
+            elif name not in _VOID and html[at - 2] != "/":
+                places.setdefault(name, []).append(len(open_))
                 open_.append(node)
+        if begun < size:
+            runs.append((open_[-1], html[begun:]))
 
     def content(self) -> tuple[str, float]:
         """Content text, blocks on lines of their own, and the greatest density sum."""
         tag, parent, n, body = self.tag, self.parent, len(self.tag), self.body
         chars, tags, linked, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        texts = [(node, _SPACE.sub(" ", unescape(raw))) for node, raw in self.runs]
+        texts = [(node, _plain(raw)) for node, raw in self.runs]
         in_link = [False] * n
         for i in range(1, n):
             in_link[i] = tag[i] == "a" or in_link[parent[i]]
@@ -157,7 +200,7 @@ class Page:
             if tag[i] not in _BLOCK:
                 block[i] = block[parent[i]]
         out: list[str] = []
-        last, breaks = -1, [i for i in range(n) if tag[i] == "br"]
+        last = -1
         for node, text in texts:
             if marked[node] and inside[node]:
                 out.append(text if block[node] == last else "\n" + text)

@@ -1,14 +1,19 @@
-"""N-gram Jaccard join: all pairs of documents whose n-gram sets are alike, by prefix trees.
+"""N-gram Jaccard join: documents whose n-gram sets are alike, by prefix trees.
 
 Only n-grams that several documents hold can add to an overlap, so those are found
 first: whole sets go out packed by n-gram, what is shared comes back packed by
 document. A document whose shared part is too small for the threshold can have no
 partner and drops out. The rest are linked where the rare ends of their sets meet;
-each linked group then is stored in one trie, in an order common to its sets, and
-walked once for all its members: members on a common path share the overlap counted
-so far, and a subtree is left when the lengths that remain can't reach the
-threshold. Every step is exact for 64-bit hashes of the n-grams (48 bits and the
-bucket's number in the exchange).
+each linked group then is stored in tries, in an order common to its sets, and each
+is walked once for all its members: members on a common path share the overlap
+counted so far, and a subtree is left when the lengths that remain can't reach the
+threshold. Every step is exact for 64-bit hashes of the n-grams.
+
+No task gets an unbounded group. N-grams that very many documents hold are counted
+in a sketch beforehand and skip the exchange by n-gram, as they are shared for sure.
+A linked group of more than ``BLOCK`` sets is split into blocks of sets that are
+likely alike, and only blocks that have a rare n-gram in common are joined. Tries
+return links counted by document and a spanning forest, not pairs.
 """
 
 from __future__ import annotations
@@ -22,13 +27,19 @@ from pyspark.sql import functions as F
 
 from .common import cut, mix, one_row_per_id, release
 
-#: Words in an n-gram, and the least Jaccard index of a pair.
-N = 5
-THRESHOLD = 0.5
+#: Words in an n-gram, and the least Jaccard index of a pair. Each edited word costs up to N n-grams, so a longer one
+#: loses near copies of short texts; a shorter one links texts that share phrases only.
+N = 4
+THRESHOLD = 0.45
 #: Members of a linked group that one trie holds; larger groups are joined block by block, every block with every other.
 BLOCK = 256
 #: Grams that a task gathers before it sends them on.
 _FLUSH = 500_000
+#: Slots of the sketch that counts holders, and holders above which all grams of a slot skip the exchange by gram.
+_SLOTS = 1 << 22
+HOT = 1 << 20
+#: Counts of a task's slot that are too few to be sent to the sketch.
+_FEW = 256
 
 # ------------------------------------------------------------------ hashes of whole texts
 
@@ -119,14 +130,24 @@ def _runs(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), [len(ids)]])
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _bucket_of_gram(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def _from_six(raw) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _first_gram(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The least gram of each bucket."""
+    return ((bucket.astype(np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets) << np.uint64(32)
+
+
+def _seven(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _from_seven(raw) -> np.ndarray:
+    """Of 256 buckets or more, the distance from a bucket's least gram has 7 bytes."""
+    part = np.frombuffer(raw, np.uint8).reshape(-1, 7)
     full = np.zeros((len(part), 8), np.uint8)
-    full[:, :6] = part
+    full[:, :7] = part
     return full.view("<u8").ravel()
 
 
@@ -134,62 +155,136 @@ def _bucket_of_id(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64) * _GRAM) >> np.uint64(32)).astype(np.int64) % buckets
 
 
-def _by_gram(n: int, buckets: int):
-    """Map of ``doc_id, text``: each document's set, cut up by bucket of gram."""
+def _sets(batches: Iterator[pa.RecordBatch], n: int, flush: int = _FLUSH) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Ids and sets of ``doc_id, text``, some ``flush`` grams at a time; documents without words are left out."""
+    ids: list[int] = []
+    sets: list[np.ndarray] = []
+    held = 0
+    for batch in batches:
+        all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1)
+        at = 0
+        while at < len(all_ids):
+            to, chars = at, 0
+            part = []
+            while to < len(all_ids) and (chars < 1 << 18 or not part):
+                part.append(all_texts[to].as_py())
+                chars += len(part[-1] or "")
+                to += 1
+            for doc, grams in zip(all_ids[at:to], gram_sets(part, n)):
+                if len(grams):
+                    ids.append(doc)
+                    sets.append(grams)
+                    held += len(grams)
+            at = to
+            if held >= flush:
+                yield np.array(ids, np.int64), sets
+                ids, sets, held = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), sets
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+
+def hot_slots(rows: DataFrame, n: int, hot: int = HOT) -> np.ndarray:
+    """Slots of the sketch whose grams have more than ``hot`` holders, or four times as many as a slot has on average.
+
+    At most a quarter of the slots can be such, so the driver and every task hold
+    some MB, whatever the data. Being a sketch, it may call a rare gram hot; that
+    gram then is taken for shared, which costs a little and changes no result.
+    """
+    few = min(_FEW, max(1, hot // 4))
+
+    def count(batches):
+        seen = np.zeros(_SLOTS, np.int64)
+        for _, sets in _sets(batches, n):
+            seen += np.bincount(_slot(np.concatenate(sets)), minlength=_SLOTS)
+        some = np.flatnonzero(seen >= few)
+        slots, counts = np.append(some, -1), np.append(seen[some], seen.sum())
+        del seen
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts)], names=["slot", "k"])
+
+    # the counts of slot -1 add up to those of all
+    seen = cut(rows.mapInArrow(count, "slot int, k bigint").groupBy("slot").agg(F.sum("k").alias("k")))
+    total = seen.filter("slot = -1").first()
+    least = max(hot, 4 * (total["k"] if total else 0) // _SLOTS)
+    return np.array(sorted(r["slot"] for r in seen.filter((F.col("slot") >= 0) & (F.col("k") > least)).collect()), np.int64)
+
 
-    def flush(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+def _by_gram(n: int, buckets: int, hot: np.ndarray):
+    """Map of ``doc_id, text``: each document's set without hot grams, cut up by bucket of gram."""
+
+    def packed(ids: np.ndarray, sets: list[np.ndarray], cool: np.ndarray | None) -> pa.RecordBatch:
         size = np.array([len(s) for s in sets])
-        grams, ids_of = np.concatenate(sets), np.array(ids, np.int64)
+        grams = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), size)
-        bucket = ((grams >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+        if cool is not None:
+            some = cool[_slot(grams)]
+            grams, owner = grams[some], owner[some]
+        bucket = _bucket_of_gram(grams, buckets).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         grams, owner, bucket = grams[order], owner[order], bucket[order]
-        keys, blobs, cuts = [], [], _runs(bucket.astype(np.int64))
+        grams = grams - _first_gram(bucket, buckets)
+        keys, blobs, cuts = [], [], _runs(bucket.astype(np.int64)) if len(bucket) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            run = _runs(owner[a:b]) if b > a else None
+            run = _runs(owner[a:b])
             who = owner[a:b][run[:-1]]
             keys.append(int(bucket[a]))
-            blobs.append(_pack(ids_of[who], size[who], np.diff(run), _six(grams[a:b])))
+            blobs.append(_pack(ids[who], size[who], np.diff(run), _seven(grams[a:b])))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(all_ids):
-                to, chars = at, 0
-                part = []
-                while to < len(all_ids) and (chars < 1 << 18 or not part):
-                    part.append(all_texts[to].as_py())
-                    chars += len(part[-1] or "")
-                    to += 1
-                for doc, grams in zip(all_ids[at:to], gram_sets(part, n)):
-                    if len(grams):
-                        ids.append(doc)
-                        sets.append(grams)
-                        held += len(grams)
-                at = to
-                if held >= _FLUSH:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield flush(ids, sets)
-        ids, sets = [], []
+        cool = None
+        if len(hot):
+            cool = np.ones(_SLOTS, bool)
+            cool[hot] = False
+        for ids, sets in _sets(batches, n):
+            yield packed(ids, sets, cool)
+        release()
+
+    return run
+
+
+def _hot_by_document(n: int, buckets: int, hot: np.ndarray):
+    """Map of ``doc_id, text``: each document's hot grams, cut up by bucket of document as :func:`_shared` does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        warm = np.zeros(_SLOTS, bool)
+        warm[hot] = True
+        for ids, sets in _sets(batches, n):
+            size = np.array([len(s) for s in sets])
+            gram, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            some = warm[_slot(gram)]
+            gram, owner = gram[some], owner[some]
+            yield pa.RecordBatch.from_arrays(
+                _by_document(gram, np.full(len(gram), 65535), ids[owner], size[owner], buckets), names=["bucket", "blob"]
+            )
         release()
 
     return run
 
 
+def _by_document(gram: np.ndarray, held: np.ndarray, doc: np.ndarray, size: np.ndarray, buckets: int) -> list[pa.Array]:
+    to = _bucket_of_id(doc, buckets)
+    order = np.lexsort((doc, to))
+    gram, held, doc, size, to = gram[order], np.minimum(held[order], 65535).astype("<u2"), doc[order], size[order], to[order]
+    keys, blobs, cuts = [], [], _runs(to) if len(to) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        runs = _runs(doc[a:b])
+        keys.append(int(to[a]))
+        blobs.append(_pack(doc[a:b][runs[:-1]], size[a:b][runs[:-1]], np.diff(runs), gram[a:b].tobytes() + held[a:b].tobytes()))
+    return [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())]
+
+
 def _shared(buckets: int):
     """Reduce one bucket of grams: what several documents hold, cut up by bucket of document."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         parts = [_unpack(memoryview(b.as_buffer())) for b in table.column("blob")]
-        gram = np.concatenate([_from_six(p[3]) for p in parts])
+        gram = np.concatenate([_from_seven(p[3]) for p in parts]) + _first_gram(np.array([bucket]), buckets)
         doc = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
         size = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
         del parts
@@ -198,22 +293,9 @@ def _shared(buckets: int):
         cuts = _runs(gram.view(np.int64)) if len(gram) else np.zeros(1, np.int64)
         held = np.repeat(np.diff(cuts), np.diff(cuts))
         some = held > 1
-        order, gram, held = order[some], gram[some] | np.uint64(bucket) << np.uint64(48), held[some]
-        doc, size = doc[order], size[order]
-        to = _bucket_of_id(doc, buckets)
-        order = np.lexsort((doc, to))
-        gram, held, doc, size, to = gram[order], np.minimum(held[order], 65535).astype("<u2"), doc[order], size[order], to[order]
-        keys, blobs = [], []
-        if len(to):
-            cuts = _runs(to)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                runs = _runs(doc[a:b])
-                keys.append(int(to[a]))
-                blobs.append(
-                    _pack(doc[a:b][runs[:-1]], size[a:b][runs[:-1]], np.diff(runs), gram[a:b].tobytes() + held[a:b].tobytes())
-                )
-        out = pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-        del gram, held, doc, size, to, order, blobs
+        order, gram, held = order[some], gram[some], held[some]
+        out = pa.table(_by_document(gram, held, doc[order], size[order], buckets), names=["bucket", "blob"])
+        del gram, held, doc, size, order
         release()
         return out
 
@@ -268,25 +350,23 @@ def _fingerprint(raw: bytes) -> bytes:
     return blake2b(raw, digest_size=16).digest()
 
 
-def partner_candidates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def partner_candidates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """``doc_id, size, whole, grams`` of the documents whose shared grams can reach the threshold.
 
     ``grams`` are the shared ones, packed, by rising number of holders; ``whole`` is
     a fingerprint if the whole set is shared. Both exchanges carry packed arrays in
-    a few rows per task; the buckets follow ``spark.sql.shuffle.partitions``.
+    a few rows per task; the buckets follow ``spark.sql.shuffle.partitions``. Grams of
+    hot slots (see :func:`hot_slots`) go straight to their document's bucket.
     """
     spark = docs.sparkSession
-    buckets = min(65536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(256, min(65536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    packed = "bucket int, blob binary"
-    return (
-        rows.select("doc_id", "text")
-        .mapInArrow(_by_gram(n, buckets), packed)
-        .groupBy("bucket")
-        .applyInArrow(_shared(buckets), packed)
-        .groupBy("bucket")
-        .applyInArrow(_gather(threshold), _SETS)
-    )
+    rows, packed = rows.select("doc_id", "text"), "bucket int, blob binary"
+    slots = hot_slots(rows, n, hot)
+    shared = rows.mapInArrow(_by_gram(n, buckets, slots), packed).groupBy("bucket").applyInArrow(_shared(buckets), packed)
+    if len(slots):
+        shared = shared.unionByName(rows.mapInArrow(_hot_by_document(n, buckets, slots), packed))
+    return shared.groupBy("bucket").applyInArrow(_gather(threshold), _SETS)
 
 
 # ------------------------------------------------------------------ linked groups
@@ -295,8 +375,9 @@ def partner_candidates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``; the root is the least node of its component.
 
-    Each task first keeps a spanning forest of its own edges. Then large-star and
-    small-star steps alternate until nothing changes; each round is checkpointed.
+    Each task first keeps a spanning forest of its own edges, a million nodes at a
+    time. Then large-star and small-star steps alternate until nothing changes; each
+    round is checkpointed. Edges of a node with itself give a component of one.
     """
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,17 +391,23 @@ def components(edges: DataFrame) -> DataFrame:
                 root[x], x = top, root[x]
             return top
 
+        def trees() -> Iterator[pa.RecordBatch]:
+            nodes = [x for x in root if find(x) != x]
+            for k in range(0, len(nodes), 100_000):
+                part = nodes[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["a", "b"]
+                )
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, y = find(a), find(b)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-        nodes = [x for x in root if find(x) != x]
-        for k in range(0, len(nodes), 100_000):
-            part = nodes[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["a", "b"]
-            )
+            if len(root) > 1_000_000:
+                yield from trees()
+                root.clear()
+        yield from trees()
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """Each node's neighbours (the larger ones, or the smaller ones and itself) move to its least neighbour."""
@@ -438,130 +525,192 @@ def trie_pairs(ids: list[int], sizes: list[int], sets: list[np.ndarray], thresho
     return out
 
 
-def _join_groups(threshold: float):
+_PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
+_LINKS = "doc_id bigint, links bigint, other bigint"
+
+
+def _join_groups(threshold: float, pairs: bool):
+    """Reduce the tries of one task: their pairs, or each document's links and its tree in a spanning forest of them.
+
+    A partner counts as often as there are equal sets (``k``).
+    """
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         groups: dict[tuple[int, int, int], list[int]] = {}
         root, i, j = (table.column(c).to_pylist() for c in ("root", "i", "j"))
         for row, task in enumerate(zip(root, i, j)):
             groups.setdefault(task, []).append(row)
-        doc, size, block, grams = (table.column(c) for c in ("doc_id", "size", "block", "grams"))
-        doc, size, block = doc.to_pylist(), size.to_pylist(), block.to_pylist()
+        doc, size, block, times = (table.column(c).to_pylist() for c in ("doc_id", "size", "block", "k"))
+        grams = table.column("grams")
         out: list[tuple[int, int, float]] = []
+        links: list[tuple[int, int, int]] = []
         for (_, first, second), rows in groups.items():
             sets = [np.frombuffer(grams[r].as_buffer(), "<u8") for r in rows]
             side = None if first == second else [block[r] == first for r in rows]
-            out += trie_pairs([doc[r] for r in rows], [size[r] for r in rows], sets, threshold, side)
-        a, b, v = zip(*out) if out else ((), (), ())
+            found = trie_pairs([doc[r] for r in rows], [size[r] for r in rows], sets, threshold, side)
+            if pairs:
+                out += found
+            else:
+                links += _links(found, {doc[r]: times[r] for r in rows})
+        form, rows = (_PAIRS, out) if pairs else (_LINKS, links)
+        kinds = [pa.float64() if c.endswith("double") else pa.int64() for c in form.split(", ")]
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
         release()
-        return pa.table(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64())], names=["doc_a", "doc_b", "jaccard"]
-        )
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in form.split(", ")])
 
     return run
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """``doc_a, doc_b, jaccard``: pairs of documents with n-gram sets of a Jaccard index of at least ``threshold``.
+def _links(pairs: list[tuple[int, int, float]], times: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(document, links, root) for each document that ``pairs`` link."""
+    count: dict[int, int] = {}
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b, _ in pairs:
+        count[a] = count.get(a, 0) + times[b]
+        count[b] = count.get(b, 0) + times[a]
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [(d, c, find(d)) for d, c in count.items()]
+
+
+def _equal_sets(sets: DataFrame) -> DataFrame:
+    """``doc_id, rep, k`` of the documents that ``k`` > 1 equal sets belong to; ``rep`` is the least id of them."""
+    whole = sets.filter("whole IS NOT NULL").select("doc_id", "whole")
+    same = whole.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).filter("k > 1")
+    return cut(whole.join(same, "whole").select("doc_id", "rep", "k"))
 
-    ``doc_a < doc_b``; the index is rounded to 6 places. Documents with equal sets
-    are joined as one: each is paired, at 1.0, with the least id among them, and that
-    one stands for all of them in the other pairs, so nothing is lost and thousands
-    of copies give thousands of rows, not millions; :func:`expand` writes out the
-    rest. Texts are compared whole, lower-cased, without ASCII punctuation (see
-    :func:`gram_sets`). Null, empty and blank texts have no n-gram and no partner;
-    so have rows without an id. Repeated rows count once; of several texts of one id
-    the greatest counts. Other columns are dropped; no documents give no pairs.
-    No group is capped: one of more than ``block`` sets is split into blocks and
-    every two blocks are joined.
+
+def _tasks(sets: DataFrame, copies: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``task, root, i, j, block, doc_id, size, k, grams``: the tries to be walked; of equal sets only ``rep`` is in one.
+
+    Sets with a prefix gram in common are linked. A group of up to ``block`` sets is
+    one trie, and small groups share tasks. A larger group is split: sets with the
+    same least prefix gram are likely alike and stay together, in blocks of their
+    own if they are many. Two blocks meet in a task if they share a prefix gram;
+    without one no set of either can be like one of the other.
     """
-    sets = cut(partner_candidates(docs, n, threshold))
-    same = sets.filter("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
-    copies = cut(
-        sets.filter("whole IS NOT NULL").select("doc_id", "whole").join(same.filter("k > 1"), "whole").select("doc_id", "rep")
-    )
     single = sets.join(copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     heads = single.select("doc_id", "size", "grams").mapInArrow(_prefixes(threshold), "gram bigint, a bigint")
-    least = heads.groupBy("gram").agg(F.min("a").alias("b"), F.count("*").alias("k")).filter("k > 1")
-    edges = heads.join(least, "gram").filter("a <> b").select("a", "b")
-    group = components(edges)
-    parts = group.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    task = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.col("parts") - 1),
-            lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")),
+    least = heads.groupBy("gram").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    linked = cut(heads.join(least, "gram").select("gram", "a", "b"))
+    group = components(linked.filter("a <> b").select("a", "b"))
+    large = group.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > block)
+    group = cut(group.join(large, "root", "left").select(F.col("node").alias("doc_id"), "root", "m"))
+    tasks = 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = group.filter("m IS NULL").select(
+        "doc_id", "root", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"),
+        F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"),
+    )
+    split = group.filter("m IS NOT NULL")
+    if not split.isEmpty():
+        inside = linked.select("gram", F.col("a").alias("doc_id")).join(split, "doc_id")
+        low = inside.groupBy("doc_id", "root", "m").agg(F.min(F.xxhash64("gram")).alias("low"))
+        many = low.groupBy("root", "low").agg(F.count("*").alias("c")).filter(F.col("c") > block)
+        share = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / block))
+        place = F.pmod(F.xxhash64("low"), F.ceil(F.col("m") / block))
+        blocks = cut(
+            low.join(many, ["root", "low"], "left")
+            .select("doc_id", "root", F.when(F.col("c").isNotNull(), F.xxhash64("low", share)).otherwise(place).alias("block"))
+        )
+        held = inside.select("gram", "doc_id").join(blocks, "doc_id").select("gram", "root", "block").distinct()
+        meet = (
+            held.select("gram", "root", F.col("block").alias("i")).join(held.select("gram", "root", F.col("block").alias("j")), ["gram", "root"])
+            .filter("i <= j").select("root", "i", "j").distinct()
+        )
+        both = meet.select("root", "i", "j", F.col("i").alias("block")).unionByName(meet.filter("i < j").select("root", "i", "j", F.col("j").alias("block")))
+        small = small.unionByName(
+            blocks.join(both, ["root", "block"]).select("doc_id", "root", "block", "i", "j", (F.xxhash64("root", "i", "j")).alias("task"))
         )
-    )
-    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    routed = (
-        group.join(parts, "root")
-        .withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-        .select(F.col("node").alias("doc_id"), "root", "block", task.alias("t"))
-        .select("doc_id", "root", "block", "t.i", "t.j")
-        .join(single.select("doc_id", "size", "grams"), "doc_id")
-        .withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(tasks)).cast("int"))
-    )
-    near = routed.groupBy("task").applyInArrow(_join_groups(threshold), "doc_a bigint, doc_b bigint, jaccard double")
+    times = copies.filter("doc_id = rep").select("doc_id", "k")
+    return small.join(single.select("doc_id", "size", "grams").join(times, "doc_id", "left"), "doc_id").fillna({"k": 1})
+
+
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """``doc_a, doc_b, jaccard``: pairs of different n-gram sets of a Jaccard index of at least ``threshold``, and equal sets.
+
+    ``doc_a < doc_b``; the index is rounded to 6 places. Of documents with equal sets
+    each is paired, at 1.0, with the least id among them, and that one stands for all
+    of them in the other pairs. Odd rows as in :func:`near_duplicates`.
+    """
+    sets = cut(partner_candidates(docs, n, threshold, hot))
+    copies = _equal_sets(sets)
+    near = _tasks(sets, copies, threshold, block).groupBy("task").applyInArrow(_join_groups(threshold, True), _PAIRS)
     equal = copies.filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(equal).select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def expand(pairs: DataFrame) -> DataFrame:
-    """All pairs that :func:`jaccard_pairs` stands for, equal sets written out; quadratic in their number."""
-    star = pairs.filter("jaccard = 1").select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("doc_id"))
-    star = star.unionByName(star.select("rep", F.col("rep").alias("doc_id")).distinct())
-    a = star.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("_x"))
-    b = star.select(F.col("rep").alias("doc_b"), F.col("doc_id").alias("_y"))
-    near = (
-        pairs.filter("jaccard < 1").join(a, "doc_a", "left").join(b, "doc_b", "left")
-        .select(F.coalesce("_x", "doc_a").alias("x"), F.coalesce("_y", "doc_b").alias("y"), "jaccard")
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """``doc_id, class_id, n_links`` of every document.
+
+    Two documents are linked if the Jaccard index of their n-gram sets is at least
+    ``threshold``; ``n_links`` counts the others that a document is linked to, equal
+    ones included, and ``class_id`` is the least doc_id that links lead to, its own
+    for a document without any. Texts are compared whole, lower-cased, without ASCII
+    punctuation (see :func:`gram_sets`). Null, empty and blank texts have no n-gram
+    and no link. Rows without an id are left out; repeated rows count once; of
+    several texts of one id the greatest counts. Other columns are dropped; no
+    documents give no rows. No group is capped.
+    """
+    found, copies, near = _classes(docs, n, threshold, block, hot)
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    near = near.groupBy("doc_id").agg(F.sum("links").alias("links"))
+    links = near.join(copies.filter("doc_id = rep").select("doc_id"), "doc_id", "left_anti").unionByName(
+        copies.join(near.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", (F.coalesce("links", F.lit(0)) + F.col("k") - 1).alias("links"))
+    )
+    return (
+        ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(links, "doc_id", "left")
+        .select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
     )
-    equal = a.join(b, F.col("doc_a") == F.col("doc_b")).filter("_x < _y").select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(equal).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, block: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``node, root`` of the linked documents; their equal sets; ``doc_id, links, other`` of different ones."""
+    sets = cut(partner_candidates(docs, n, threshold, hot))
+    copies = _equal_sets(sets)
+    near = cut(_tasks(sets, copies, threshold, block).groupBy("task").applyInArrow(_join_groups(threshold, False), _LINKS))
+    edges = near.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).unionByName(
+        copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    )
+    return components(edges.filter("a <> b")), copies, near
 
 
 def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that a pair links to a document of lesser id.
+    """One row of each class of :func:`near_duplicates`, that of the least doc_id, with all columns.
 
-    Groups are the components of :func:`jaccard_pairs`; the least doc_id of each
-    stays. Documents without a partner stay, rows without an id too.
+    Repeated rows of a doc_id are copies too: one stays, that with the greatest text
+    (of equal texts the greatest in the other columns, where those can be compared).
+    Documents without a link stay, null, empty and blank texts too; rows without an
+    id can't be named as copies and stay as they are. An empty table stays empty.
     """
-    pairs = jaccard_pairs(docs, n, threshold).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    found, _, _ = _classes(docs, n, threshold, BLOCK, HOT)
     name = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs has it
-    gone = components(pairs).filter("node <> root").select(F.col("node").alias(name))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
+    gone = found.filter("node <> root").select(F.col("node").alias(name))
+    one = one_row_per_id(docs).join(gone, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
+    return one.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """The same in SQL over a table ``documents``, by counting every shared n-gram."""
-    return f"""
-WITH docs AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
-low AS (SELECT doc_id, lower(text) AS raw, regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]', ' ', 'g') AS kept FROM docs),
-words AS (
-  SELECT doc_id, regexp_extract_all(CASE WHEN kept ~ '^ *$' THEN raw ELSE kept END, '[^ \\t\\n\\x0b\\x0c\\r]+') AS w FROM low),
-grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM words),
-sets AS (SELECT doc_id, count(*) AS size, list(g ORDER BY g) AS whole FROM grams GROUP BY doc_id),
-reps AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY whole) AS rep FROM sets),
-kept AS (SELECT g.doc_id, g.g, r.size FROM grams g JOIN reps r ON g.doc_id = r.doc_id AND r.rep = r.doc_id),
-pairs AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS j
-  FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
-SELECT doc_a, doc_b, round(j, 6) AS jaccard FROM pairs WHERE j >= {threshold} - 1e-9
-UNION ALL SELECT rep, doc_id, 1.0 FROM reps WHERE rep <> doc_id"""
-
-
-def all_pairs_oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """The whole join in SQL, every document held against every other that shares an n-gram."""
+    """The same in SQL over a table ``documents``: every document held against every other that shares an n-gram."""
     return f"""
-WITH docs AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+WITH RECURSIVE docs AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
 low AS (SELECT doc_id, lower(text) AS raw, regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]', ' ', 'g') AS kept FROM docs),
 words AS (
   SELECT doc_id, regexp_extract_all(CASE WHEN kept ~ '^ *$' THEN raw ELSE kept END, '[^ \\t\\n\\x0b\\x0c\\r]+') AS w FROM low),
-grams AS (
+grams AS MATERIALIZED (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
          ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM words),
 sizes AS (SELECT doc_id, count(*) AS size FROM grams GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-pairs AS (SELECT doc_a, doc_b, k / (x.size + y.size - k) AS j FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b)
-SELECT doc_a, doc_b, round(j, 6) AS jaccard FROM pairs WHERE j >= {threshold} - 1e-9"""
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE k / (x.size + y.size - k) >= {threshold} - 1e-9),
+reach(node, met) AS (SELECT doc_id, doc_id FROM docs UNION SELECT b, met FROM reach JOIN links ON a = node),
+class AS (SELECT node, min(met) AS class_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM docs JOIN class ON node = doc_id LEFT JOIN counts ON a = doc_id"""

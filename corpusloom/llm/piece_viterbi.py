@@ -1,16 +1,24 @@
 """Encoding into the pieces of a published model, and decoding back.
 
 An Aho-Corasick automaton over the pieces reads the text once. At each position
-its output links give every piece that ends there, and each relaxes the best
-score of the position. White space is written as U+2581 first, as the model does.
-If no piece has that mark behind another character, no piece crosses from a word
-into the next space, so the best path of a text is the best paths of its words
-one after the other; each worker then keeps the path of a distinct word.
+its output links give every piece that ends there, and each relaxes what the
+position holds. In a unigram model scores are log probabilities: the best sum wins.
+In a model made by merging pairs scores are only the order of merges, and the best
+sum of them isn't the model's segmentation. There the relaxation asks instead
+whether a piece can follow the one that the path ends in: exactly one can, as a
+sequence is the model's own if every two neighbours, merged by themselves, stay as
+they are. Both take one pass.
+
+White space is written as U+2581 first, as the model does. If no piece has that
+mark behind another character, no piece crosses from a word into the next space, so
+the path of a text is the paths of its words one after the other; each worker then
+keeps the path of a distinct word.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -64,10 +72,15 @@ def read_model(raw: bytes) -> list[tuple[str, float, int]]:
     return pieces
 
 
+def is_merging(raw: bytes) -> bool:
+    """Whether the model's trainer settings say that it was made by merging pairs (byte-pair encoding)."""
+    return any(number == 2 and dict(_fields(value)).get(3, 1) == 2 for number, value in _fields(raw))
+
+
 class PieceCodec:
-    """Best-score segmentation into ids, and its inverse."""
+    """The model's segmentation into ids, and its inverse; ``merging`` models by merges, others by best score."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float, int]], merging: bool = False) -> None:
         self.automaton = ahocorasick.Automaton()
         usable = {p: (len(p), score, i) for i, (p, score, kind) in enumerate(pieces) if kind in (_NORMAL, _USER) and p}
         for piece, entry in usable.items():
@@ -83,7 +96,15 @@ class PieceCodec:
             for p, _, kind in pieces
         ]
         self.width = np.dtype("<u2") if len(pieces) <= 65536 else np.dtype("<u4")
-        self.words = Memo(lambda w: np.array(self.segment(w), self.width).tobytes(), 400_000)
+        segment, code = self.merged if merging else self.segment, self.width.char
+        self.words = Memo(lambda w: array(code, segment(w)).tobytes(), 500_000)
+        self.scores = {p: e[1] for p, e in usable.items()}
+        #: Pieces by id, then the characters met that are none; the last of the pieces' places stands for a text's begin.
+        self.names = [*(p for p, _, _ in pieces), ""]
+        self.strange: dict[str, int] = {}
+        self.begin = len(pieces)
+        self.growth = Memo(self._growth, 300_000)
+        self.may_follow = Memo(self._may_follow, 1_000_000)
 
     def segment(self, text: str) -> list[int]:
         """Ids of the best path; of equal scores the one whose last piece is longest wins.
@@ -122,6 +143,94 @@ class PieceCodec:
             at -= length
         return ids[::-1]
 
+    def _growth(self, piece: str):
+        """What stands at either end of a piece while it is merged: (part, score at which it is merged on), last to stay.
+
+        None if merging the piece's characters ends in anything else.
+        """
+        parts, scores = list(piece), self.scores
+        at_left, at_right = [], []
+        while len(parts) > 1:
+            best, at = -float("inf"), -1
+            for i in range(len(parts) - 1):
+                if (score := scores.get(parts[i] + parts[i + 1])) is not None and score > best:
+                    best, at = score, i
+            if at < 0:
+                return None
+            if at == 0:
+                at_left.append((parts[0], best))
+            if at == len(parts) - 2:
+                at_right.append((parts[-1], best))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        stays = (piece, -float("inf"))
+        return [*at_left, stays], [*at_right, stays]
+
+    def _may_follow(self, pair: int) -> bool:
+        """Whether two pieces (ids in the upper and lower half) stay as they are when merged side by side.
+
+        At a text's begin the second must stay by itself.
+
+        They do if at no time the parts that meet are merged before one of them is
+        merged inside its piece; of equal scores the pair further left comes first.
+        """
+        before, after = self.names[pair >> 32], self.names[pair & 0xFFFFFFFF]
+        second = self.growth[after]
+        if second is None or not before:
+            return second is not None
+        first = self.growth[before]
+        if first is None:
+            return False
+        i = j = 0
+        while True:
+            (x, leaves_x), (y, leaves_y) = first[1][i], second[0][j]
+            score = self.scores.get(x + y)
+            if score is not None and score > leaves_x and score >= leaves_y:
+                return False
+            if leaves_x == leaves_y == -float("inf"):
+                return True
+            if leaves_x >= leaves_y:
+                i += 1
+            else:
+                j += 1
+
+    def merged(self, text: str) -> list[int]:
+        """Ids of the segmentation that merging gives, in one pass.
+
+        The last piece of each prefix is the one that may follow the last piece of
+        the prefix before it. A character without a piece stands for itself, then
+        falls back to its UTF-8 bytes, or to the unknown id.
+        """
+        n = len(text)
+        last = [self.begin] + [-1] * n
+        may_follow = self.may_follow
+        for end, (length, _, piece) in () if self.empty else self.automaton.iter(text):
+            if last[end + 1] < 0:
+                before = last[end + 1 - length]
+                if before < 0:  # all matches that end there have been seen
+                    before = last[end + 1 - length] = self._stranger(text[end - length])
+                if may_follow[before << 32 | piece]:
+                    last[end + 1] = piece
+        ids: list[int] = []
+        while n:
+            piece = last[n]
+            if 0 <= piece < self.begin:
+                ids.append(piece)
+                n -= len(self.names[piece])
+                continue
+            n -= 1
+            if self.byte_id:
+                ids.extend(self.byte_id[b] for b in reversed(text[n].encode("utf-8", "surrogatepass")))
+            else:
+                ids.append(self.unknown)
+        return ids[::-1]
+
+    def _stranger(self, character: str) -> int:
+        """A number for a character that no piece is."""
+        if character not in self.strange:
+            self.strange[character] = len(self.names)
+            self.names.append(character)
+        return self.strange[character]
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.width)
@@ -143,13 +252,16 @@ def codec_of(raw: bytes) -> PieceCodec:
     key = hash(raw)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = PieceCodec(read_model(raw))
+        _CODECS[key] = PieceCodec(read_model(raw), is_merging(raw))
     return _CODECS[key]
 
 
 def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, ids, n_pieces, round_trip`` for every row, over its whole text.
 
+    Ids are those of the model's own encoder: by best score for a unigram model, by
+    merges for a merging one (see the module).
+
     ``round_trip`` says whether decoding the ids gives the text again; it fails
     only where the text itself holds U+2581, which stands for a space. Null text
     gives nulls, empty text no ids. Rows are taken one by one, so repeated rows
@@ -200,7 +312,11 @@ def _arrays(parts, sizes, valid, same) -> list[pa.Array]:
 
 
 def decode_pieces(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; null ids give null text, no ids the empty one."""
+    """``doc_id, text`` from ``doc_id, ids``; null ids give null text, no ids the empty one.
+
+    Rows are taken one by one, so repeated rows and null doc_ids stay; other columns
+    are dropped; an empty table gives an empty one.
+    """
     with open(model, "rb") as f:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
 

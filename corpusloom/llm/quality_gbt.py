@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import each_text, one_row_per_id, release
+from .common import each_text, release
 
 #: Labelled documents that a fit may use; those whose hashed id comes first.
 MAX_TRAIN = 20_000
@@ -136,7 +136,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     """Statistics and 0/1 quality of at most ``max_train`` labelled documents.
 
     Several labels of one document are averaged, a tie counting as good; null ids
-    and null labels are left out, as are labels without a document.
+    and null labels are left out, as are labels without a document. Of several texts
+    of one id the greatest counts.
     """
     voted = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -144,13 +145,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
         .agg((F.avg("quality") >= 0.5).cast("int").alias("_good"))
     )
     chosen = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = (
-        texts.join(F.broadcast(chosen), "doc_id")  # at most max_train rows
+        texts.join(F.broadcast(chosen), "doc_id")  # at most max_train rows; only labelled texts are shuffled
+        .groupBy("doc_id", "_good").agg(F.max("text").alias("text"))
         .select("doc_id", "_good", _statistics("text").alias("_x"))
         .orderBy("doc_id")
         .collect()
-    )
+    )
     x = np.array([r["_x"] for r in rows], float).reshape(len(rows), len(STATISTICS))
     return x, np.array([r["_good"] for r in rows], int)
 
@@ -191,7 +193,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`classify_quality` keeps."""
+    """The rows of ``docs``, all columns, that :func:`classify_quality` keeps.
+
+    Null, empty and blank texts go; repeated rows and rows without an id are judged
+    one by one; documents of equal text share their fate. Without usable labels the
+    score of 0.5 keeps all that has words. An empty table stays empty.
+    """
     score = scorer(fit_quality(docs, labels, max_train))
     return docs.filter(
         F.col("text").cast("string").rlike(r"[^\s]") & (F.round(score("text"), 6) >= threshold)

@@ -3,7 +3,8 @@
 Words and pairs of words are hashed into buckets. The buckets of trusted documents
 and those of all documents give two smoothed multinomials; a document's score is
 the mean of log p(target) - log p(raw) over its n-grams. Every document is held
-against one threshold: nothing is drawn at random.
+against one threshold, that which keeps a stated share of the trusted documents:
+nothing is drawn at random.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, each_text, release, sized
+from .common import Memo, cut, each_text, release, sized
 
 BUCKETS = 10_000
 PAIR = 31
 #: Added to each bucket's count.
 SMOOTHING = 1.0
-#: Least mean log ratio that passes.
-THRESHOLD = -0.1
+#: Share of the trusted documents that the threshold lets pass, and its steps in a unit of the mean log ratio.
+KEEP = 0.998
+STEPS = 1000
 
 #: Hashes of the words of a batch; every worker process holds its own.
 _WORDS = Memo(lambda w: int.from_bytes(md5(w).digest()[:4]), 150_000)
@@ -116,33 +118,65 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS,
+def lowest_step(trusted_scores: DataFrame, keep: float = KEEP) -> int:
+    """The greatest step (score times ``STEPS``, rounded down) that lets the share ``keep`` of ``llr`` pass.
+
+    Scores are counted by step, so the driver gets as many rows as there are steps
+    (mean log ratios stay within some 25, so 50,000), whatever the data. Without a score 0.
+    """
+    step = F.floor(F.col("llr") * STEPS).alias("step")
+    counts = sorted((r["step"], r["count"]) for r in trusted_scores.filter("llr IS NOT NULL").groupBy(step).count().collect())
+    spare = sum(c for _, c in counts) * (1 - keep) // 1
+    for at, count in counts:
+        if spare < count:
+            return at
+        spare -= count
+    return 0
+
+
+def _passes(step: int):
+    return F.coalesce(F.floor(F.col("llr") * STEPS) >= step, F.lit(False))
+
+
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``."""
+    ids = ids.select(F.col("doc_id").cast("bigint").alias("_id")).filter("_id IS NOT NULL").distinct()
+    return docs.join(sized(ids), F.col("doc_id").cast("bigint") == F.col("_id"), "left_semi")
+
+
+def score_documents(docs: DataFrame, trusted: DataFrame, keep: float = KEEP, n: int = BUCKETS,
                     smoothing: float = SMOOTHING) -> DataFrame:
     """``doc_id, llr, keep`` for every row of ``docs``, over its whole text.
 
-    ``llr`` is rounded to 6 places. A null text or one without words has a null
-    score and is not kept. Repeated rows count as often as they stand; null ids
-    are scored but never trusted; other columns are dropped. Without a trusted
-    document all scores are 0. Two passes over the texts, no shuffle of text.
+    ``llr`` is rounded to 6 places; ``keep`` says whether it reaches the step that the
+    share ``keep`` of the trusted documents reaches. A null text or one without words
+    has a null score and is not kept. Repeated rows count as often as they stand;
+    null ids are scored but never trusted; other columns are dropped. Without a
+    trusted document all scores are 0 and all documents with words are kept; no
+    documents give no rows. Two passes over the texts, no shuffle of text while ids
+    fit a broadcast.
     """
     score = scorer(log_ratios(*corpus_counts(docs, trusted, n), smoothing))
-    return docs.select("doc_id", F.round(score("text"), 6).alias("llr")).withColumn(
-        "keep", F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    )
+    scores = cut(docs.select("doc_id", F.round(score("text"), 6).alias("llr")))  # ids and scores only; read twice
+    return scores.withColumn("keep", _passes(lowest_step(_of(scores, trusted), keep)))
 
 
-def keep_likely(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS,
+def keep_likely(docs: DataFrame, trusted: DataFrame, keep: float = KEEP, n: int = BUCKETS,
                 smoothing: float = SMOOTHING, raw: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`score_documents` keeps.
 
-    Both multinomials are counted over ``raw``, the corpus as it was before any
-    filter; without it ``docs`` is taken for that.
+    Both multinomials and the threshold come from ``raw``, the corpus as it was before
+    any filter; without it ``docs`` is taken for that. Null, empty and blank texts go;
+    repeated rows and rows without an id are judged one by one; documents of equal
+    text share their fate; an empty table stays empty.
     """
-    score = scorer(log_ratios(*corpus_counts(docs if raw is None else raw, trusted, n), smoothing))
-    return docs.filter(F.round(score("text"), 6) >= threshold)
+    raw = docs if raw is None else raw
+    score = scorer(log_ratios(*corpus_counts(raw, trusted, n), smoothing))
+    step = lowest_step(_of(raw, trusted).select(F.round(score("text"), 6).alias("llr")), keep)
+    return docs.filter(F.floor(F.round(score("text"), 6) * STEPS) >= step)
 
 
-def oracle(n: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> str:
+def oracle(n: int = BUCKETS, smoothing: float = SMOOTHING, keep: float = KEEP) -> str:
     """The same in SQL, for tables ``documents`` and ``labels``."""
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
@@ -162,5 +196,7 @@ total AS (SELECT sum(raw) AS raw, sum(target) AS target FROM every),
 ratio AS (
   SELECT b, CASE WHEN t.target = 0 THEN 0 ELSE ln(e.target + {smoothing}) - ln(t.target + {smoothing} * {n})
          - ln(e.raw + {smoothing}) + ln(t.raw + {smoothing} * {n}) END AS v FROM every e, total t),
-score AS (SELECT r, round(sum(c * v) / sum(c), 6) AS llr FROM seen JOIN ratio USING (b) GROUP BY r)
-SELECT doc_id, llr, coalesce(llr >= {threshold}, FALSE) AS keep FROM docs LEFT JOIN score USING (r)"""
+score AS (SELECT r, round(sum(c * v) / sum(c), 6) AS llr FROM seen JOIN ratio USING (b) GROUP BY r),
+good AS (SELECT llr, row_number() OVER (ORDER BY llr) - 1 AS i, count(*) OVER () AS k FROM score JOIN docs USING (r) WHERE doc_id IN (SELECT doc_id FROM trusted)),
+step AS (SELECT coalesce(min(floor(llr * {STEPS})), 0) AS s FROM good WHERE i >= floor(k * (1 - {keep})))
+SELECT doc_id, llr, coalesce(floor(llr * {STEPS}) >= s, FALSE) AS keep FROM docs LEFT JOIN score USING (r), step"""

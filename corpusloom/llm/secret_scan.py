@@ -25,13 +25,12 @@ MASK = "[SECRET]"
 #: A run of fewer characters holds no key.
 LEAST = 20
 _CHARS = "A-Za-z0-9+/_-"
-#: Java and Python agree on it; only texts that match are sent to Python.
-CANDIDATE = f"[{_CHARS}]{{{LEAST},}}"
+#: Java and Python agree on it; only texts that match are sent to Python. Armour may be wrapped at any width.
+CANDIDATE = f"[{_CHARS}]{{{LEAST}}}|-----BEGIN "
 
-_ARMOUR = re.compile(
-    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\s*[A-Za-z-]+:[^\n]*\n)*\s*([A-Za-z0-9+/=\s]+?)\s*-----END \1-----"
-)
-_TOKEN = re.compile(rf"(?<![\w.-])([A-Za-z0-9_-]{{8,}})\.([A-Za-z0-9_-]{{2,}})\.([A-Za-z0-9_-]{{8,}})(?![\w-])")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----")
+_HEADER = re.compile(r"\s*+[A-Za-z-]++:[^\n]*+\n")
+_TOKEN = re.compile(rf"(?<![\w.-])([A-Za-z0-9_-]{{8,}}+)\.([A-Za-z0-9_-]{{2,}}+)\.([A-Za-z0-9_-]{{8,}}+)(?![\w-])")
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[{_CHARS}]{{{LEAST},}}={{0,2}}")
 _NAMED = re.compile(
     r"(?i)(?:api|access|auth|secret|private|client|session|encryption|signing|master)?[ _-]?"
@@ -67,7 +66,7 @@ def der(data: bytes, at: int = 0, end: int | None = None) -> list | None:
         if at + size > end:
             return None
         if tag & 32:
-            inner = der(data, at, at + size) if len(nodes) < 64 else None
+            inner = der(data, at, at + size)
             if inner is None:
                 return None
             nodes.append((tag, inner))
@@ -123,7 +122,7 @@ def ssh_key(data: bytes) -> str | None:
         fields.append(x)
     keys = int.from_bytes(data[at : at + 4])
     at += 4
-    if not 1 <= keys <= 16:
+    if keys < 1:
         return None
     for _ in range(keys + 1):  # public keys, then the private part
         if (x := field()) is None:
@@ -153,7 +152,7 @@ def varied(data: bytes) -> bool:
     if len(set(data)) < min(n, 32) * 0.55:
         return False
     steps = {(b - a) & 255 for a, b in zip(data, data[1:])}
-    return len(steps) > n // 4 and sum(32 <= b < 127 for b in data) < 0.9 * n
+    return len(steps) > min(n, 256) // 4 and sum(32 <= b < 127 for b in data) < 0.9 * n
 
 
 def confirm(run: str, before: str) -> str | None:
@@ -165,14 +164,30 @@ def confirm(run: str, before: str) -> str | None:
         data = bytes.fromhex(plain)
         if kind := der_key(data) or ssh_key(data):
             return kind
-        return "hex_key" if 16 <= len(data) <= 64 and varied(data) and _NAMED.search(before) else None
+        return "hex_key" if len(data) >= 16 and varied(data) and _NAMED.search(before) else None
     data = unbase64(run)
     if data is None:
         return None
     if kind := der_key(data) or ssh_key(data):
         return kind
     mixed = any(c.isdigit() for c in plain) and any(c.islower() for c in plain) and any(c.isupper() for c in plain)
-    return "base64_key" if mixed and 15 <= len(data) <= 96 and varied(data) and _NAMED.search(before) else None
+    return "base64_key" if mixed and len(data) >= 15 and varied(data) and _NAMED.search(before) else None
+
+
+def armoured(text: str):
+    """(start, end, body) of each armoured private key, headers left out, in linear time.
+
+    No armour holds five dashes, so the ones behind a beginning must be its end.
+    """
+    for m in _BEGIN.finditer(text):
+        if not m[1].endswith("PRIVATE KEY"):
+            continue
+        stop, end = text.find("-----", m.end()), f"-----END {m[1]}-----"
+        if stop >= 0 and text.startswith(end, stop):
+            at = m.end()
+            while h := _HEADER.match(text, at, stop):
+                at = h.end()
+            yield m.start(), stop + len(end), "".join(text[at:stop].split())
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -180,10 +195,10 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
-    for m in _ARMOUR.finditer(text):
-        data = unbase64(re.sub(r"\s+", "", m[2]))
+    for start, end, body in armoured(text):
+        data = unbase64(body)
         if data is not None and (kind := der_key(data) or ssh_key(data)):
-            found.append((m.start(), m.end(), kind))
+            found.append((start, end, kind))
     for m in _TOKEN.finditer(text):
         if kind := signed_token(*m.groups()):
             found.append((m.start(), m.end(), kind))
@@ -253,8 +268,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with each confirmed secret of ``text`` replaced by ``[SECRET]``.
 
-    All rows and columns stay; where a text changes and there is a column
-    ``n_chars``, it is counted anew. Only texts with a candidate visit Python.
+    All rows and columns stay, repeated rows and null ids too; null and empty texts
+    stay as they are, an empty table stays empty. Of overlapping finds the first and
+    longest is masked. ``text`` comes back as a string; where it changes and there is
+    a column ``n_chars``, that is counted anew. Only texts with a candidate visit Python.
     """
     text = F.col("text").cast("string")
     out = docs.withColumn("text", F.coalesce(_masked(F.when(text.rlike(CANDIDATE), text)), text))

@@ -64,16 +64,60 @@ EDGES = [
 @pytest.mark.parametrize("n, t, block", [(3, 0.5, 512), (3, 0.3, 4), (5, 0.8, 512), (1, 0.6, 2)])
 def test_against_brute_force(spark, n, t, block):
     rows = corpus(n * 7) + EDGES
-    got = nj.jaccard_pairs(spark.createDataFrame(rows, FORM), n, t, block)
-    all_pairs = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in nj.expand(got).collect()}
-    assert all_pairs == brute(rows, n, t)
-    assert got.dropDuplicates(["doc_a", "doc_b"]).count() == got.count()
+    frame, want = spark.createDataFrame(rows, FORM), brute(rows, n, t)
+    for hot in (nj.HOT, 3):  # with a sketch that calls many grams hot, and one that calls none so
+        got = nj.near_duplicates(frame, n, t, block, hot).collect()
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == classes(rows, want) and len(got) == len(classes(rows, want))
 
 
-def test_many_copies_give_a_star(spark):
+def classes(rows, pairs):
+    root, links = {i: i for i, _ in rows if i is not None}, {}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: (find(i), links.get(i, 0)) for i in root}
+
+
+def test_pairs_of_different_sets(spark):
+    rows = corpus(5) + EDGES
+    want = brute(rows, 3, 0.5)
+    sets = {}
+    for i, x in sorted(((i, x) for i, x in rows if i is not None), key=lambda r: r[0]):
+        sets[i] = max(sets.get(i) or "", x or "")
+    rep = {}
+    least = {i: rep.setdefault(frozenset(grams(x, 3)), i) for i, x in sorted(sets.items())}
+    short = {p: j for p, j in want.items() if all(least[i] == i for i in p) or (least[p[1]] == p[0])}
+    got = nj.jaccard_pairs(spark.createDataFrame(rows, FORM), 3, 0.5, 4)
+    assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in got.collect()} == short
+
+
+def test_a_group_of_many_blocks(spark):
+    """A chain of texts, each like the next few only, and a cluster in which all are alike."""
+    text = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(text[2 * i : 2 * i + 30])) for i in range(150)]
+    rows += [(1000 + i, " ".join([*text[350:390], f"x{i}"])) for i in range(90)]
+    got = nj.near_duplicates(spark.createDataFrame(rows, FORM), 3, 0.5, block=8).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == classes(rows, brute(rows, 3, 0.5))
+
+
+def test_buckets_hold_64_bits():
+    import numpy as np
+
+    x = np.random.default_rng(0).integers(0, 2**64, 20_000, dtype=np.uint64)
+    x = np.concatenate([x, np.array([0, 2**64 - 1], np.uint64)])
+    for buckets in (256, 300, 1000, 65536):
+        b = nj._bucket_of_gram(x, buckets)
+        assert b.max() < buckets
+        assert (nj._from_seven(nj._seven(x - nj._first_gram(b, buckets))) + nj._first_gram(b, buckets) == x).all()
+
+
+def test_many_copies(spark):
     rows = [(i, "the very same words in every one of these texts") for i in range(2000)] + [(5000, "the very same words in every one of these texts and more")]
-    got = nj.jaccard_pairs(spark.createDataFrame(rows, FORM)).collect()
-    assert len(got) == 2000 and all(r["doc_a"] == 0 for r in got)
+    got = nj.near_duplicates(spark.createDataFrame(rows, FORM)).collect()
+    assert len(got) == 2001 and {(r["class_id"], r["n_links"]) for r in got} == {(0, 2000)}
+    assert nj.jaccard_pairs(spark.createDataFrame(rows, FORM)).count() == 2000
 
 
 def test_groups_keep_the_least_id_and_all_columns(spark):
@@ -85,7 +129,7 @@ def test_groups_keep_the_least_id_and_all_columns(spark):
     for a, b in sorted(brute(rows, nj.N, nj.THRESHOLD)):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    want = sorted(str(i) for i, _ in rows if i is None or find(i) == i)
+    want = sorted([str(i) for i in {i for i, _ in rows} if i is not None and find(i) == i] + ["None" for i, _ in rows if i is None])
     assert kept.columns == frame.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
 
@@ -98,8 +142,8 @@ def test_components_of_a_long_path(spark):
 
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id int, text string, gram string, bucket int")
-    assert nj.jaccard_pairs(empty).collect() == [] and nj.keep_one_of_each_group(empty).collect() == []
-    assert nj.jaccard_pairs(spark.createDataFrame([(1, None)], FORM)).collect() == []
+    assert nj.jaccard_pairs(empty).collect() == [] and nj.keep_one_of_each_group(empty).collect() == [] and nj.near_duplicates(empty).collect() == []
+    assert [tuple(r) for r in nj.near_duplicates(spark.createDataFrame([(1, None)], FORM)).collect()] == [(1, 1, 0)]
 
 
 def test_same_as_sql(spark, small, sql):
@@ -107,20 +151,3 @@ def test_same_as_sql(spark, small, sql):
 
     name = "op6_ngram_jaccard_join"
     assert rows_of(queries.QUERIES[name](spark, small).toPandas()) == rows_of(sql.execute(queries.ORACLES[name]).df())
-
-
-def test_registered_join_gives_all_pairs(spark, tmp_path):
-    import duckdb
-
-    from corpusloom.llm import queries
-
-    text = " ".join(f"w{i}" for i in range(40))
-    rows = [(0, text), (1, text), (2, text), (3, text + " more"), (4, text + " more"), (5, "quite another text of its own here")]
-    spark.createDataFrame(rows, FORM).write.parquet(f"{tmp_path}/documents.parquet")
-    name = "op6_ngram_jaccard_all_pairs"
-    got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
-    assert {(a, b) for a, b in zip(got.doc_a, got.doc_b)} == {(a, b) for a in range(5) for b in range(a + 1, 5)} and len(got) == 10
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    assert rows_of(got) == rows_of(con.execute(queries.ORACLES[name]).df())

@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,52 @@ def test_segments_have_the_best_score():
         assert score == pytest.approx(viterbi(codec, pieces, text))
 
 
+def test_ids_are_those_of_the_published_encoder(spark):
+    """A merging model is encoded by merges: the same ids as the library gives, on whole texts and on odd ones."""
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=piece_viterbi.MODEL)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL")
+    for r in piece_viterbi.encode_pieces(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert r["ids"] == theirs.encode(r["text"])
+    with open(piece_viterbi.MODEL, "rb") as f:
+        codec = piece_viterbi.codec_of(f.read())
+    rng = random.Random(2)
+    for letters in ("aeinrst▁  é", " a", "0ol=-", "\t\n x\U0001f600日"):
+        for _ in range(500):
+            text = "".join(rng.choices(letters, k=rng.randrange(1, 40)))
+            assert codec.encode(text).tolist() == theirs.encode(text)
+
+
+def field(number, value):
+    """One protocol-buffer field."""
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + np.float32(value).tobytes()
+    if isinstance(value, int):
+        return bytes([number << 3, value])
+    assert len(value) < 128
+    return bytes([number << 3 | 2, len(value)]) + value
+
+
+def test_a_unigram_model_is_encoded_by_score(tmp_path):
+    """A model written by hand, of scores that are log probabilities, as the library encodes it."""
+    import sentencepiece
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices("abc▁", k=rng.randrange(1, 5))) for _ in range(60)} | set("abc▁"))
+    pieces = [("<unk>", 0.0, 2), *((p, round(-1 - rng.random() * 9, 3), 1) for p in names)]
+    raw = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in pieces)
+    raw += field(2, field(3, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    (tmp_path / "m.model").write_bytes(raw)
+    theirs = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    codec = piece_viterbi.codec_of(raw)
+    assert not piece_viterbi.is_merging(raw)
+    score = lambda ids: sum(pieces[i][1] for i in ids)
+    for _ in range(500):
+        text = "".join(rng.choices("abc ", k=rng.randrange(1, 30)))
+        assert score(codec.encode(text).tolist()) == pytest.approx(score(theirs.encode(text)), abs=1e-4)
+
+
 def test_round_trip(spark, small, odd):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     rows = piece_viterbi.encode_pieces(docs).collect()
@@ -176,6 +223,36 @@ def test_harmless_runs(text):
     assert secret_scan.scan(f"see {text} there") == []
 
 
+LONG = RNG.randbytes(700)
+HIDDEN = [
+    ("-----BEGIN EC PRIVATE KEY-----\n" + "\n".join(base64.b64encode(EC).decode()[i : i + 10] for i in range(0, 60, 10)) + "\n-----END EC PRIVATE KEY-----", "ec_private_key"),
+    ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,X\nDEK-Info: AES-128-CBC,00FF\n\n" + base64.encodebytes(RSA).decode() + "-----END RSA PRIVATE KEY-----", "rsa_private_key"),
+    (base64.b64encode(node(0x30, node(2, b"\1") + node(4, RNG.randbytes(32)) + b"".join(node(0xA0, b"") for _ in range(140)) + node(0xA1, node(3, b"\0")))).decode(), "ec_private_key"),
+]
+
+
+@pytest.mark.parametrize("secret, kind", HIDDEN)
+def test_hidden_secrets(spark, secret, kind):
+    assert secret_scan.scan(f"x {secret} y") == [(2, 2 + len(secret), kind)]
+    rows = secret_scan.scan_secrets(spark.createDataFrame([(1, f"x {secret} y")], "doc_id bigint, text string")).collect()
+    assert [r["kind"] for r in rows] == [kind]  # the filter before Python lets it through
+
+
+def test_long_keys_that_are_named():
+    assert [k for *_, k in secret_scan.scan(f"api_key = {LONG.hex()}")] == ["hex_key"]
+    assert [k for *_, k in secret_scan.scan(f"secret: {base64.b64encode(LONG).decode()}")] == ["base64_key"]
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN PRIVATE KEY-----" + " " * 1_000_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 30_000, "-----BEGIN RSA PRIVATE KEY-----\n" + "a-b: x\n" * 100_000,
+    "abcdefgh." * 110_000, "aB3" * 333_333, "-----BEGIN " + "A" * 1_000_000,
+])
+def test_hostile_texts_are_read_in_linear_time(text):
+    began = time.perf_counter()
+    secret_scan.scan(text)
+    assert time.perf_counter() - began < 5
+
+
 def test_secret_rows(spark, odd):
     docs = odd.unionByName(spark.createDataFrame([(9, f"é {TOKEN} {TOKEN}", "x"), (9, f"é {TOKEN} {TOKEN}", "x"), (None, PLANTED[0][0], "x")], FORM))
     rows = secret_scan.scan_secrets(docs).collect()
@@ -201,13 +278,16 @@ def test_content_and_nothing_else():
 
 
 def brute_sums(page):
-    """Sums of link-adjusted characters per tag, recomputed for every element by itself."""
-    from math import e, log
-
     kids = {i: [] for i in range(len(page.tag))}
     for i, p in enumerate(page.parent[1:], 1):
         kids[p].append(i)
     below = lambda i: [i, *(x for k in kids[i] for x in below(k))]
+    return max(page_numbers(page, kids, below)[1].values())
+
+
+def page_numbers(page, kids, below):
+    """Link-adjusted characters per tag and their sums, recomputed for every element below the body by itself."""
+    from math import e, log
 
     def linked(i):
         return i > 0 and (page.tag[i] == "a" or linked(page.parent[i]))
@@ -226,7 +306,7 @@ def brute_sums(page):
         base = log(c / max(1, c - lc) * lc + share * c + e)
         return c / t * max(0.0, log(c / max(1, lc) * t / lt)) / log(base) if base > 1 + 1e-12 else c / t
 
-    return max(sum(density(k) for k in kids[i]) for i in below(page.body))
+    return {i: density(i) for i in below(0)}, {i: sum(density(k) for k in kids[i]) for i in below(page.body)}
 
 
 def test_sums_against_brute_force(spark, small):
@@ -235,6 +315,43 @@ def test_sums_against_brute_force(spark, small):
         assert html_density.Page(html).content()[1] == pytest.approx(brute_sums(html_density.Page(html)), rel=1e-6)
 
 
+@pytest.mark.parametrize("html", [
+    "<a" * 500_000, "<div>" * 50_000 + "</b>" * 200_000, "<a \">" + "<b 'x" * 100_000, "<a \"x" * 200_000 + ">", "<td><table>" + "<b>" * 50_000 + "<td></td>" * 50_000,
+    "<!" * 500_000, "<" * 1_000_000, "&#" + "9" * 100_000 + ";", "<!--" * 250_000, "<a '\">" * 150_000,
+])
+def test_hostile_pages_are_read_in_linear_time(html):
+    began = time.perf_counter()
+    html_density.extract(html)
+    assert time.perf_counter() - began < 10
+
+
+def brute_content(page):
+    """Text of the subtree of the greatest sum, and of those whose elements reach the threshold, taken element by element."""
+    kids = {i: [] for i in range(len(page.tag))}
+    for i, p in enumerate(page.parent[1:], 1):
+        kids[p].append(i)
+    below = lambda i: [i, *(x for k in kids[i] for x in below(k))]
+    density, sums = page_numbers(page, kids, below)
+    best = lambda i: max(below(i), key=lambda x: (sums[x], -x))
+    top = at = best(page.body)
+    threshold = density[top]
+    while at != page.body:
+        at = page.parent[at]
+        threshold = min(threshold, density[at])
+    marked = set(below(top))
+    for i in below(page.body):
+        if i != page.body and density[i] > 0 and density[i] >= threshold:
+            marked |= set(below(best(i)))
+    return [html_density._plain(raw).strip() for i, raw in page.runs if i in marked and html_density._plain(raw).strip()]
+
+
+def test_text_against_brute_force(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").limit(25).collect()
+    for html in [PAGE, *(r["html"] for r in pages)]:
+        page = html_density.Page(html)
+        assert " ".join(page.content()[0].split()) == " ".join(" ".join(brute_content(page)).split()) or page.content()[0].replace("\n", "").replace(" ", "") == "".join(brute_content(page)).replace(" ", "")
+
+
 def test_odd_pages(spark):
     odd = [None, "", "no markup at all", "<p", "<div><p>open", "</div></p>x", "<script>var a='<p>no</p>'</script>", "<a href='x>'>y</a>", "<div>" * 3000 + "deep", "<p>x</p>" * 30_000, "<!-- <p>no</p>"]
     rows = spark.createDataFrame([(i, "u", h, 1) for i, h in enumerate(odd)] + [(None, None, "<p>kept</p>", 1), (0, "u", None, 1)], "page_id bigint, url string, html string, text int")
