@@ -6,7 +6,7 @@ from text to sentences of tokens and runs it in Arrow batches, chunk by chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import or_
 
@@ -30,8 +30,9 @@ ENDINGS = {"VERB": ("ing", "ed", "er", "en", "ar", "ir"), "ADJ": ("ble", "ous",
 SUFFIXES = {tag: f"({'|'.join(ends)})$" for tag, ends in ENDINGS.items()}
 
 
-def upos_of(token: Column, index: Column) -> Column:
-    low = F.lower(token)
+def upos_of(token: Column, index: Column, low: Column | None = None) -> Column:
+    """Tag of a token; ``low`` is the token in lower case where it is at hand, so that it isn't made for each test."""
+    low = F.lower(token) if low is None else low
     out = F.when(~token.rlike("[\\p{L}\\p{N}]"), "PUNCT").when(token.rlike("^\\p{N}+$"), "NUM")
     for tag, words in CLOSED.items():
         out = out.when(low.isin(words), tag)
@@ -41,25 +42,33 @@ def upos_of(token: Column, index: Column) -> Column:
     return out.otherwise("NOUN")
 
 
-def lemma_of(token: Column) -> Column:
+def lemma_of(token: Column, low: Column | None = None) -> Column:
     """Lower case; a longer word loses its final s."""
-    low = F.lower(token)
+    low = F.lower(token) if low is None else low
     return F.when((F.length(low) > 4) & low.endswith("s"), F.left(low, F.length(low) - 1)).otherwise(low)
 
 
-def feats_of(token: Column, upos: Column) -> Column:
-    low = F.lower(token)
+def feats_of(token: Column, upos: Column, low: Column | None = None) -> Column:
+    low = F.lower(token) if low is None else low
     number = F.when(low.endswith("s"), "Number=Plur").otherwise("Number=Sing")
     case = F.when(F.right(low, F.lit(1)).isin(*"aeiou"), "Case=Nom").otherwise("Case=Acc")
     return F.when(upos.isin("NOUN", "PROPN"), F.concat_ws("|", case, number)).when(upos == "VERB", "VerbForm=Fin").otherwise("")
 
 
+def token_number(place: Column) -> Column:
+    """A token's number in the corpus, from its ``doc_id`` and its place in the document."""
+    doc = F.col("doc_id").cast("bigint")
+    wrong = F.raise_error(F.concat(F.lit("doc_id must be a number of at most 31 bits: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.when(doc.between(0, 2**31 - 1), F.shiftleft(doc, 32) + place).otherwise(wrong.cast("bigint"))
+
+
 def annotate(docs: DataFrame, group: str = "lang", with_sentence: bool = False) -> DataFrame:
     """Token records of ``docs(doc_id, text, ...)``; a projection and one generator, no shuffle.
 
     ``global_token_index`` is unique and rises with document and position: the
-    document's id in the upper half, the place in the document in the lower. Other
-    columns of ``docs`` but the text are carried along.
+    document's id in the upper half, the place in the document in the lower. An id
+    outside 0 to 2**31 - 1 is an error. Other columns of ``docs`` but the text are
+    carried along.
     """
     tokens = lambda s, i: F.transform(
         F.regexp_extract_all(s, F.lit(f"({TOKEN})"), 1),
@@ -82,12 +91,35 @@ def annotate(docs: DataFrame, group: str = "lang", with_sentence: bool = False)
         F.lit(0).cast("bigint").alias("chunk_index"),
         "_t.sentence_index",
         "_t.token_index",
-        (F.shiftleft(F.col("doc_id").cast("bigint"), 32) + F.col("_at")).alias("global_token_index"),
+        token_number(F.col("_at")).alias("global_token_index"),
         *(["_t.sentence"] if with_sentence else []),
         "_t.token",
     )
-    rows = rows.withColumn("lemma", lemma_of(F.col("token"))).withColumn("upos", upos_of(F.col("token"), F.col("token_index")))
-    return rows.withColumn("feats", feats_of(F.col("token"), F.col("upos")))
+    return tagged(rows)
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """``rows(token, token_index, ...)`` with ``lemma``, ``upos`` and ``feats``; the lower case is made once a row."""
+    low = F.col("_low")
+    rows = rows.withColumn("_low", F.lower("token"))  # used so often that it stays a projection of its own
+    rows = rows.withColumns({"lemma": lemma_of(F.col("token"), low), "upos": upos_of(F.col("token"), F.col("token_index"), low)})
+    return rows.withColumn("feats", feats_of(F.col("token"), F.col("upos"), low)).drop("_low")
+
+
+def annotate_counts(docs: DataFrame, by: Sequence[str] = (), group: str = "lang") -> DataFrame:
+    """Token records summed over what tagging can't tell apart: ``group, by..., token, token_index, n, lemma, upos, feats``.
+
+    The annotator looks at a token and at whether it begins its sentence, so a record
+    stands for ``n`` tokens (``token_index`` is 0 or 1) and each distinct form is tagged
+    once for each ``by``. Operators that only count take these in place of
+    :func:`annotate`; partial sums are made before the one shuffle.
+    """
+    spoken = lambda s: F.transform(
+        F.regexp_extract_all(s, F.lit(f"({TOKEN})"), 1), lambda t, j: F.struct(t.alias("token"), F.least(j, F.lit(1)).cast("bigint").alias("token_index"))
+    )
+    rows = docs.select(F.col(group).alias("group"), *by, F.explode(F.flatten(F.transform(F.split("text", SENTENCE), spoken))).alias("_t"))
+    counts = rows.groupBy("group", *by, F.col("_t.token").alias("token"), F.col("_t.token_index").alias("token_index")).agg(F.count("*").alias("n"))
+    return tagged(counts)
 
 
 def chunks(text: str, size: int = CHUNK) -> list[tuple[int, str]]:
@@ -149,6 +181,6 @@ def config_tokens(docs: DataFrame, group: str = "lang") -> DataFrame:
     return rows.select(
         "group", F.col("doc_id").cast("string").alias("source_file"), F.lit(None).cast("string").alias("section"),
         F.lit(0).cast("bigint").alias("chunk_index"), F.lit(0).cast("bigint").alias("sentence_index"),
-        F.col("i").cast("bigint").alias("token_index"), (F.shiftleft("doc_id", 32) + F.col("i")).alias("global_token_index"),
+        F.col("i").cast("bigint").alias("token_index"), token_number(F.col("i")).alias("global_token_index"),
         "token", F.lit(True).alias("included"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
@@ -18,9 +18,14 @@ def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
 
 
+def number(rows: DataFrame) -> Column:
+    """How many tokens ``rows`` stand for: the sum of ``n`` where there is one, else their number."""
+    return F.coalesce(F.sum("n"), F.lit(0)) if "n" in rows.columns else F.count("*")
+
+
 def frequencies(tokens: DataFrame, by: Sequence[str] = ("group",)) -> DataFrame:
     """``by..., item, count`` of the included keys; partial sums are made before the one shuffle."""
-    return tokens.filter("included").groupBy(*by, F.col("analysis_key").alias("item")).agg(F.count("*").alias("count"))
+    return tokens.filter("included").groupBy(*by, F.col("analysis_key").alias("item")).agg(number(tokens).alias("count"))
 
 
 def map_lemmas(counts: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -74,11 +79,11 @@ def validate_partition(whole: DataFrame, parts: Mapping[str, DataFrame]) -> Data
 
 def partition_totals(rows: DataFrame) -> DataFrame:
     """One row: totals, types and items by status, and whether all match."""
-    number = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    of = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
     return rows.agg(
         F.coalesce(F.sum("whole_count"), F.lit(0)).alias("whole_tokens"), F.coalesce(F.sum("parts_sum"), F.lit(0)).alias("parts_tokens"),
         F.count(F.when(F.col("whole_count") > 0, 1)).alias("whole_types"), F.count(F.when(F.col("parts_sum") > 0, 1)).alias("parts_types"),
-        number("match"), number("missing_from_parts"), number("excess_in_parts"),
+        of("match"), of("missing_from_parts"), of("excess_in_parts"),
         F.coalesce(F.bool_and(F.col("delta") == 0), F.lit(True)).alias("exact"),
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import character_stream
+from .counts import number
 
 UPOS = ("NOUN", "VERB", "ADJ", "ADV", "PROPN", "PRON", "ADP", "AUX", "CCONJ", "SCONJ", "PART", "DET", "NUM")
 CONTENT = ("NOUN", "PROPN", "VERB", "ADJ", "ADV")
@@ -66,8 +67,9 @@ def basic(lexical: DataFrame, unit: Sequence[str]) -> DataFrame:
 def upos_profile(lexical: DataFrame, unit: Sequence[str]) -> DataFrame:
     """Count and ratio of 13 tags, of content words and of function words."""
     tag = F.coalesce(F.nullif("upos", F.lit("")), F.lit("X"))
-    of = lambda cond: F.count(F.when(cond, 1))
-    total = F.count("*")
+    weight = F.col("n") if "n" in lexical.columns else F.lit(1)
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, weight)), F.lit(0)).cast("bigint")
+    total = number(lexical)
     columns: list[Column] = []
     for name, cond in [(f"upos_{t}", tag == t) for t in UPOS] + [("content_word", tag.isin(*CONTENT)), ("function_word", tag.isin(*FUNCTION))]:
         columns += [of(cond).alias(f"{name}_count"), (of(cond) / total).alias(f"{name}_ratio")]
@@ -76,14 +78,14 @@ def upos_profile(lexical: DataFrame, unit: Sequence[str]) -> DataFrame:
 
 def top_terms(lexical: DataFrame, column: str, top: int, order_value: str = "term") -> DataFrame:
     """``rank, term, count``: the most frequent values over all units, equals by value."""
-    counts = lexical.filter("eligible").groupBy(F.col(column).alias("term")).agg(F.count("*").alias("count")).filter("term <> ''")
+    counts = lexical.filter("eligible").groupBy(F.col(column).alias("term")).agg(number(lexical).alias("count")).filter("term <> ''")
     best = counts.orderBy(F.desc("count"), F.asc(order_value)).limit(top)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.asc(order_value))).cast("bigint"))  # top rows only
 
 
 def term_ratios(lexical: DataFrame, unit: Sequence[str], column: str, terms: Sequence[str]) -> DataFrame:
     """``unit..., feature, value``: share of each term in all eligible tokens of the unit; absent terms are 0."""
-    rows = lexical.filter("eligible").groupBy(*unit, F.col(column).alias("term")).agg(F.count("*").alias("n"))
+    rows = lexical.filter("eligible").groupBy(*unit, F.col(column).alias("term")).agg(number(lexical).alias("n"))
     some = F.create_map(*[x for t in terms for x in (F.lit(t), F.sum(F.when(F.col("term") == t, F.col("n")).otherwise(0)))])
     return rows.groupBy(*unit).agg(F.sum("n").alias("_total"), some.alias("_m")).select(*unit, "_total", F.explode("_m").alias("feature", "_n")).select(
         *unit, "feature", (F.col("_n") / F.col("_total")).alias("value")
@@ -93,13 +95,13 @@ def term_ratios(lexical: DataFrame, unit: Sequence[str], column: str, terms: Seq
 def morphology_vocabulary(lexical: DataFrame) -> DataFrame:
     """``attribute, value, count`` of the feature pairs of eligible tokens."""
     pair = F.explode(F.str_to_map("feats", F.lit("[|]"), F.lit("="))).alias("attribute", "value")
-    rows = lexical.filter("eligible AND feats <> ''").groupBy("feats").agg(F.count("*").alias("n")).select(pair, "n")
+    rows = lexical.filter("eligible AND feats <> ''").groupBy("feats").agg(number(lexical).alias("n")).select(pair, "n")
     return rows.groupBy("attribute", "value").agg(F.sum("n").alias("count"))
 
 
 def morphology(lexical: DataFrame, unit: Sequence[str], vocabulary: Sequence[tuple[str, str]]) -> DataFrame:
     """Long frame: coverage, value, conditional, other and other-conditional shares of the fitted pairs."""
-    rows = lexical.filter("eligible").groupBy(*unit, F.coalesce("feats", F.lit("")).alias("feats")).agg(F.count("*").alias("n"))
+    rows = lexical.filter("eligible").groupBy(*unit, F.coalesce("feats", F.lit("")).alias("feats")).agg(number(lexical).alias("n"))
     rows = rows.withColumn("_m", F.when(F.col("feats") == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map("feats", F.lit("[|]"), F.lit("="))))
     total = F.sum("n")
     when = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
@@ -119,7 +121,7 @@ def morphology(lexical: DataFrame, unit: Sequence[str], vocabulary: Sequence[tup
 def morphology_bundles(lexical: DataFrame, attributes: Sequence[str], top: int) -> DataFrame:
     """``bundle, count``: the commonest combinations of the attributes' values."""
     kept = F.filter(F.split("feats", "[|]"), lambda p: F.split_part(p, F.lit("="), F.lit(1)).isin(list(attributes)))
-    rows = lexical.filter("eligible AND feats <> ''").groupBy("feats").agg(F.count("*").alias("n")).select(F.array_join(kept, "|").alias("bundle"), "n")
+    rows = lexical.filter("eligible AND feats <> ''").groupBy("feats").agg(number(lexical).alias("n")).select(F.array_join(kept, "|").alias("bundle"), "n")
     rows = rows.filter("bundle <> ''").groupBy("bundle").agg(F.sum("n").alias("count"))
     return rows.orderBy(F.desc("count"), F.asc("bundle")).limit(top)
 
@@ -203,7 +205,7 @@ def mtld(lexical: DataFrame, unit: Sequence[str], threshold: float = 0.72, value
 
 def hdd(lexical: DataFrame, unit: Sequence[str], sample: int = 42, value: str = "token_value") -> DataFrame:
     """Expected type-token ratio of a random sample, from the hypergeometric chance that a type is absent."""
-    counts = lexical.filter("eligible").groupBy(*unit, F.col(value).alias("v")).agg(F.count("*").alias("f"))
+    counts = lexical.filter("eligible").groupBy(*unit, F.col(value).alias("v")).agg(number(lexical).alias("f"))
     rows = counts.withColumn("n", F.sum("f").over(Window.partitionBy(*unit))).withColumn("k", F.least("n", F.lit(sample)))
     absent = F.aggregate(
         F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), F.lit(1.0),

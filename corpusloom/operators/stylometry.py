@@ -26,7 +26,9 @@ def zscores(vectors: DataFrame, model: DataFrame) -> DataFrame:
 
 def _score(metric: str) -> Column:
     a, b = F.col("va"), F.col("vb")
-    cosine = F.least(F.greatest(F.sum(a * b) / (F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b))), F.lit(-1.0)), F.lit(1.0))
+    norm = F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b))
+    none = F.raise_error(F.concat(F.lit("a vector of zeros has no cosine: "), F.when(F.sum(a * a) == 0, F.first("id_a")).otherwise(F.first("id_b")).cast("string")))
+    cosine = F.when(norm > 0, F.least(F.greatest(F.sum(a * b) / F.nullif(norm, F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))).otherwise(none.cast("double"))
     return {
         "manhattan": F.sum(F.abs(a - b)), "burrows_delta": F.avg(F.abs(a - b)),
         "cosine_similarity": cosine, "cosine_delta": 1 - cosine,
@@ -81,9 +83,15 @@ def leave_one_work_out(profiles: DataFrame) -> DataFrame:
     centre = profiles.groupBy("feature").agg(F.avg("value").alias("c"))
     p = profiles.join(centre, "feature").withColumn("x", F.col("value") - F.col("c")).select("work", "author", "feature", "x")
     allsum = p.groupBy("feature").agg(
-        F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.sort_array(F.collect_list("x")).alias("_xs")
+        F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"),
+        F.min("x").alias("lo"), F.max("x").alias("hi"),
+    )
+    # the next to least and greatest, of repeated ones the same again: bounded sums, no list of a feature's works
+    inner = p.join(allsum.select("feature", "lo", "hi"), "feature").groupBy("feature").agg(
+        F.when(F.count(F.when(F.col("x") == F.col("lo"), 1)) > 1, F.min("lo")).otherwise(F.min(F.when(F.col("x") > F.col("lo"), F.col("x")))).alias("lo2"),
+        F.when(F.count(F.when(F.col("x") == F.col("hi"), 1)) > 1, F.max("hi")).otherwise(F.max(F.when(F.col("x") < F.col("hi"), F.col("x")))).alias("hi2"),
     )
-    ends = allsum.select("feature", "n", "s", "q", F.col("_xs")[0].alias("lo"), F.element_at("_xs", 2).alias("lo2"), F.element_at("_xs", -1).alias("hi"), F.element_at("_xs", -2).alias("hi2"))
+    ends = allsum.join(inner, "feature")
     per = p.groupBy("author", "feature").agg(F.count("*").alias("na"), F.sum("x").alias("sa"))
     held = p.select(F.col("work").alias("held"), F.col("author").alias("actual"), "feature", F.col("x").alias("h")).join(ends, "feature")
     low, high = F.when(F.col("h") == F.col("lo"), F.col("lo2")).otherwise(F.col("lo")), F.when(F.col("h") == F.col("hi"), F.col("hi2")).otherwise(F.col("hi"))

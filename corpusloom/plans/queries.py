@@ -54,8 +54,17 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return lexical(tokens(spark, d))
 
 
+def tally(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """Tokens summed by form, for operators that only count."""
+    return an.annotate_counts(docs(spark, d).withColumn("work", F.concat_ws("_", "lang", "source")), by)
+
+
+def word_tally(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    return lexical(tally(spark, d, *by))
+
+
 def freq(spark: SparkSession, d: str) -> DataFrame:
-    return counts.frequencies(with_inclusion(tokens(spark, d))).withColumnRenamed("group", "label")
+    return counts.frequencies(with_inclusion(tally(spark, d))).withColumnRenamed("group", "label")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -73,14 +82,14 @@ def freq_by_group(spark, d):
 @query(after("", """SELECT grp AS "group", lower(token) AS item, count(*) AS count FROM tokens
 WHERE length(token) >= 2 AND NOT (regexp_matches(lower(token), '^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$') AND lower(token) NOT IN ('di', 'vi')) GROUP BY ALL"""))
 def freq_surface_roman(spark, d):
-    return counts.frequencies(with_inclusion(tokens(spark, d), unit="surface", upos_targets=(), min_length=2, drop_roman=True))
+    return counts.frequencies(with_inclusion(tally(spark, d), unit="surface", upos_targets=(), min_length=2, drop_roman=True))
 
 
 @query(after("", """SELECT grp AS "group", CASE WHEN upos NOT IN ('NOUN', 'VERB') THEN 'upos_not_targeted' WHEN length(lemma) < 4 THEN 'too_short'
 WHEN regexp_matches(lemma, '^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$') THEN 'roman_numeral' END AS exclusion_reason, count(*) AS count FROM tokens GROUP BY ALL"""))
 def exclusion_reasons(spark, d):
-    rows = with_inclusion(tokens(spark, d), upos_targets=("NOUN", "VERB"), min_length=4, drop_roman=True)
-    return rows.groupBy("group", "exclusion_reason").agg(F.count("*").alias("count"))
+    rows = with_inclusion(tally(spark, d), upos_targets=("NOUN", "VERB"), min_length=4, drop_roman=True)
+    return rows.groupBy("group", "exclusion_reason").agg(counts.number(rows).alias("count"))
 
 
 @query(after("", "SELECT label AS \"group\", substr(item, 1, 3) AS item, sum(count)::BIGINT AS count FROM freq GROUP BY ALL"))
@@ -131,22 +140,20 @@ def normalized_text(spark, d):
     return docs(spark, d).select("doc_id", F.md5(normalize_text(F.col("text"), ligatures=True, u_for_v=True, i_for_j=True)).alias("digest"))
 
 
-_HALVES = """halves AS (SELECT lemma AS item, (regexp_extract(work, '[0-9]+$')::INT % 2) AS half, count(*) AS n FROM tokens WHERE upos = 'NOUN' AND grp = 'en' GROUP BY ALL),
-parted AS (SELECT item, sum(n)::BIGINT AS whole_count, coalesce(sum(n) FILTER (half = 0 AND length(item) > 3), 0)::BIGINT AS even_count,
-  coalesce(sum(n) FILTER (half = 1), 0)::BIGINT AS odd_count FROM halves GROUP BY item),
-checked AS (SELECT *, even_count + odd_count AS parts_sum, whole_count - even_count - odd_count AS delta FROM parted)"""
+_PARTS = """whole AS (SELECT item, sum(count)::BIGINT AS whole_count FROM freq GROUP BY item),
+parts AS (SELECT item, """ + ", ".join(f"coalesce(sum(count) FILTER (label = '{x}'), 0)::BIGINT AS {x}_count" for x in ("de", "en", "es", "fr")) + """ FROM freq GROUP BY item),
+checked AS (SELECT *, de_count + en_count + es_count + fr_count AS parts_sum, whole_count - (de_count + en_count + es_count + fr_count) AS delta FROM whole JOIN parts USING (item))"""
 
 
-@query(after(_HALVES, """SELECT *, CASE WHEN delta = 0 THEN 'match' WHEN delta > 0 THEN 'missing_from_parts' ELSE 'excess_in_parts' END AS status FROM checked"""))
+@query(after(_PARTS, """SELECT *, CASE WHEN delta = 0 THEN 'match' WHEN delta > 0 THEN 'missing_from_parts' ELSE 'excess_in_parts' END AS status FROM checked"""))
 def partition_validation(spark, d):
-    rows = with_inclusion(tokens(spark, d)).filter("group = 'en'")
-    half = F.regexp_extract("work", "[0-9]+$", 0).cast("int") % 2
-    by_half = rows.withColumn("half", half).filter("included").groupBy("half", F.col("analysis_key").alias("item")).agg(F.count("*").alias("count"))
-    whole = by_half.groupBy("item").agg(F.sum("count").alias("count"))
-    return counts.validate_partition(whole, {"even": by_half.filter("half = 0 AND length(item) > 3"), "odd": by_half.filter("half = 1")})
+    """The whole vocabulary, counted by itself, against that of the languages."""
+    whole = counts.frequencies(with_inclusion(an.annotate_counts(docs(spark, d).withColumn("lang", F.lit("all")))))
+    parts = freq(spark, d)
+    return counts.validate_partition(whole, {x: parts.filter(F.col("label") == x) for x in ("de", "en", "es", "fr")})
 
 
-@query(after(_HALVES, """SELECT sum(whole_count)::BIGINT AS whole_tokens, sum(parts_sum)::BIGINT AS parts_tokens, count(*) FILTER (whole_count > 0) AS whole_types,
+@query(after(_PARTS, """SELECT sum(whole_count)::BIGINT AS whole_tokens, sum(parts_sum)::BIGINT AS parts_tokens, count(*) FILTER (whole_count > 0) AS whole_types,
 count(*) FILTER (parts_sum > 0) AS parts_types, count(*) FILTER (delta = 0) AS "match", count(*) FILTER (delta > 0) AS missing_from_parts,
 count(*) FILTER (delta < 0) AS excess_in_parts, bool_and(delta = 0) AS exact FROM checked"""))
 def partition_summary(spark, d):
@@ -264,16 +271,16 @@ def features_basic(spark, d):
 @query(after("", "SELECT work, " + ", ".join(f"count(*) FILTER ({c}) AS {n}_count, round(count(*) FILTER ({c}) / count(*), 6) AS {n}_ratio" for n, c in
     [(f"upos_{t}", f"upos = '{t}'") for t in features.UPOS] + [("content_word", f"upos IN {features.CONTENT}"), ("function_word", f"upos IN {features.FUNCTION}")]) + " FROM lex GROUP BY work"))
 def features_upos(spark, d):
-    return rounded(features.upos_profile(words(spark, d), _U))
+    return rounded(features.upos_profile(word_tally(spark, d, "work"), _U))
 
 
 @query(after("", "SELECT tv AS term, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, tv) AS rank FROM lex GROUP BY tv ORDER BY count DESC, term LIMIT 100"))
 def mfw_vocab(spark, d):
-    return features.top_terms(words(spark, d), "token_value", 100)
+    return features.top_terms(word_tally(spark, d), "token_value", 100)
 
 
 def _mfw_vectors(spark, d, top=30) -> DataFrame:
-    rows = words(spark, d)
+    rows = word_tally(spark, d, "work")
     terms = [r["term"] for r in features.top_terms(rows, "token_value", top).collect()]
     return features.term_ratios(rows, ["work", "group"], "token_value", terms).withColumnRenamed("group", "author")
 
@@ -286,12 +293,12 @@ def features_mfw(spark, d):
 @query(after("fw AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in FUNCTION_WORDS) + "]) AS feature), u AS (SELECT work, count(*) AS n FROM lex GROUP BY work)",
     "SELECT u.work, fw.feature, round(coalesce(c.k, 0) / u.n, 6) AS value FROM u CROSS JOIN fw LEFT JOIN (SELECT work, tv AS feature, count(*) AS k FROM lex GROUP BY ALL) c ON c.work = u.work AND c.feature = fw.feature"))
 def features_function_words(spark, d):
-    return rounded(features.term_ratios(words(spark, d), _U, "token_value", FUNCTION_WORDS))
+    return rounded(features.term_ratios(word_tally(spark, d, "work"), _U, "token_value", FUNCTION_WORDS))
 
 
 @query(after("wide AS (SELECT work, " + ", ".join(f"round(count(*) FILTER (tv = '{w}') / count(*), 6) AS fw_{w}" for w in FUNCTION_WORDS) + " FROM lex GROUP BY work)", "SELECT * FROM wide"))
 def features_function_words_wide(spark, d):
-    long = features.term_ratios(words(spark, d), _U, "token_value", FUNCTION_WORDS)
+    long = features.term_ratios(word_tally(spark, d, "work"), _U, "token_value", FUNCTION_WORDS)
     wide = features.widen(long.withColumn("feature", F.concat(F.lit("fw_"), "feature")), _U, [f"fw_{w}" for w in FUNCTION_WORDS])
     return rounded(wide)
 
@@ -301,7 +308,7 @@ _PAIRS = "pair AS (SELECT work, feats, unnest(string_split(feats, '|')) AS p FRO
 
 @query(after(_PAIRS, "SELECT string_split(p, '=')[1] AS attribute, string_split(p, '=')[2] AS value, count(*) AS count FROM pair GROUP BY ALL"))
 def morph_vocab(spark, d):
-    return features.morphology_vocabulary(words(spark, d))
+    return features.morphology_vocabulary(word_tally(spark, d))
 
 
 _KNOWN = [("Case", "Acc"), ("Case", "Nom"), ("Number", "Sing"), ("VerbForm", "Fin")]
@@ -322,12 +329,12 @@ def _morph_sql() -> str:
 
 @query(_morph_sql())
 def features_morph(spark, d):
-    return rounded(features.morphology(words(spark, d), _U, _KNOWN))
+    return rounded(features.morphology(word_tally(spark, d, "work"), _U, _KNOWN))
 
 
 @query(after("", "SELECT feats AS bundle, count(*) AS count FROM lex WHERE feats LIKE '%Case%' GROUP BY ALL ORDER BY count DESC, bundle LIMIT 3"))
 def morph_bundles(spark, d):
-    return features.morphology_bundles(words(spark, d), ["Case", "Number"], 3)
+    return features.morphology_bundles(word_tally(spark, d), ["Case", "Number"], 3)
 
 
 _STREAMS = {
@@ -405,7 +412,7 @@ def mtld(spark, d):
 @query(after("b AS (SELECT doc_id, tv, count(*) AS f FROM lex GROUP BY ALL), c AS (SELECT *, sum(f) OVER (PARTITION BY doc_id) AS n FROM b), e AS (SELECT *, least(n, 42)::BIGINT AS k FROM c)",
     "SELECT doc_id, round(least(sum(CASE WHEN n - f < k THEN 1 ELSE 1 - list_product(list_transform(range(k), lambda i: ((n - f - i) / (n - i))::DOUBLE)) END) / any_value(k), 1), 6) AS hdd FROM e GROUP BY doc_id"))
 def hdd(spark, d):
-    return rounded(features.hdd(words(spark, d), ["doc_id"]))
+    return rounded(features.hdd(word_tally(spark, d, "doc_id"), ["doc_id"]))
 
 
 _WIN = """un AS (SELECT work, count(*) AS n FROM lex GROUP BY work),
@@ -416,7 +423,8 @@ win AS (SELECT work, n, sample_index, sample_index * 200 AS start_token, least(s
 
 @query(after(_WIN, "SELECT work, n, sample_index, start_token, end_token, kind FROM win"))
 def sample_windows(spark, d):
-    units = words(spark, d).filter("eligible").groupBy("work").agg(F.count("*").alias("n"))
+    rows = word_tally(spark, d, "work")
+    units = rows.filter("eligible").groupBy("work").agg(counts.number(rows).alias("n"))
     return sequences.sample_windows(units, 500, 200)
 
 
@@ -476,7 +484,7 @@ for _metric, _expr in _SCORES.items():
 
 
 def _doc_vectors(spark, d) -> DataFrame:
-    rows = words(spark, d)
+    rows = word_tally(spark, d, "doc_id", "work")
     terms = [r["term"] for r in features.top_terms(rows, "token_value", 30).collect()]
     return features.term_ratios(rows, ["doc_id", "work", "group"], "token_value", terms).withColumnRenamed("group", "author")
 
@@ -590,5 +598,5 @@ def wordlist(spark, d):
 
 @query(after("", "SELECT lower(token) AS item, count(*) AS count FROM tokens WHERE regexp_matches(lower(token), '^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$') AND lower(token) NOT IN ('di', 'vi') GROUP BY ALL"))
 def roman_numerals(spark, d):
-    rows = tokens(spark, d).filter(roman(F.col("token"), surface=True))
-    return rows.groupBy(F.lower("token").alias("item")).agg(F.count("*").alias("count"))
+    rows = tally(spark, d).filter(roman(F.col("token"), surface=True))
+    return rows.groupBy(F.lower("token").alias("item")).agg(counts.number(rows).alias("count"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
@@ -99,8 +99,12 @@ def feature_table(spark: SparkSession, path: str, id_column: str, columns: Itera
     chosen = [c for c in rows.columns if c != id_column and (c in set(columns) or any(c.startswith(p) for p in prefixes))]
     if id_column not in rows.columns or not chosen:
         raise ValueError("no id column or no feature columns")
-    number = lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
-    pairs = F.create_map(*[x for c in chosen for x in (F.lit(c), F.coalesce(number(c), F.raise_error(F.lit(f"not a number in {c}")).cast("double")))])
+
+    def number(c: str) -> Column:
+        x = F.expr(f"try_cast(`{c}` AS DOUBLE)")
+        return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+    pairs = F.create_map(*[x for c in chosen for x in (F.lit(c), F.coalesce(number(c), F.raise_error(F.lit(f"not a finite number in {c}")).cast("double")))])
     if rows.groupBy(id_column).count().filter(f"`{id_column}` IS NULL OR count > 1").limit(1).count():
         raise ValueError("ids are missing or repeated")
     return rows.select(F.col(id_column).alias("id"), F.explode(pairs).alias("feature", "value"))

@@ -1,4 +1,4 @@
-"""Writers: tables with the documented order and header, committed by a manifest written last."""
+"""Writers: tables with the documented order and header, small ones moved into place when they are whole."""
 
 from __future__ import annotations
 
