@@ -168,6 +168,25 @@ def test_chains_leave_at_the_other_end():
     assert packing.chain([True, False], [(1, H, 0, B, 0)]) == [[(0, False), (1, False)]]
 
 
+def test_joined_lines_leave_no_edge_between_ends():
+    H, T, B = packing.HEAD, packing.TAIL, packing.BOTH
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(2, 12))
+        single = rng.integers(0, 2, n).astype(bool).tolist()
+        side = lambda i: B if single[i] else int(rng.integers(0, 2))
+        pairs = [rng.permutation(n)[:2].tolist() for _ in range(int(rng.integers(1, 20)))]
+        edges = [(a, side(a), b, side(b), int(rng.integers(0, 6))) for a, b in pairs]
+        lines = packing.joined(single, edges)
+        assert sorted(p for line in lines for p, _ in line) == list(range(n))
+        meet = {x for a, p, b, q, _ in edges for x in ((a, p, b, q), (b, q, a, p))}
+        out = lambda p, back: B if single[p] else H if back else T
+        for line in lines:
+            assert all((p, out(p, x), q, out(q, not y)) in meet for (p, x), (q, y) in zip(line, line[1:]))
+        ends = [((line[0][0], out(line[0][0], not line[0][1])), (line[-1][0], out(*line[-1]))) for line in lines]
+        assert not any((*x, *y) in meet for i, one in enumerate(ends) for other in ends[:i] for x in one for y in other)
+
+
 def test_spans_and_parts_of_a_text():
     assert packing.spans(5, 7, 4) == [(1, 1, 0, 3), (2, 0, 3, 7)]
     text = "  one two\n\nthree four "
