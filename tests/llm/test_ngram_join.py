@@ -113,6 +113,32 @@ def test_buckets_hold_64_bits():
         assert (nj._from_seven(nj._seven(x - nj._first_gram(b, buckets))) + nj._first_gram(b, buckets) == x).all()
 
 
+def test_turns_part_the_exchange_and_lose_nothing(spark):
+    """Each turn writes its part of the grams only, all turns together every gram once, whatever the ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids = [-(2**63), -1, 0, 7, 2**40, 2**63 - 1]
+    texts = [" ".join(f"w{i}-{k}" for k in range(3000)) for i in range(len(ids))]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])
+    parts = [[b for out in nj._by_gram(4, 256, np.empty(0, np.int64), turn, 4)(iter([batch])) for b in out.to_pylist()] for turn in range(4)]
+    found = {}
+    for row in sum(parts, []):
+        who, size, count, body = nj._unpack(memoryview(row["blob"]))
+        gram = nj._from_seven(body) + nj._first_gram(np.array([row["bucket"]]), 256)
+        for doc, n, some in zip(who.tolist(), size.tolist(), np.split(gram, np.cumsum(count)[:-1])):
+            assert n == len(nj.gram_sets([texts[ids.index(doc)]])[0])
+            found.setdefault(doc, []).append(some)
+    for doc, text in zip(ids, texts):
+        assert (np.sort(np.concatenate(found[doc])) == nj.gram_sets([text])[0]).all()
+    written = [sum(len(r["blob"]) for r in part) for part in parts]
+    assert max(written) < 0.3 * sum(written)
+    rows = corpus(11) + EDGES
+    want = {r["doc_id"]: (r["size"], sorted(np.frombuffer(r["grams"], "<u8"))) for r in nj.partner_candidates(spark.createDataFrame(rows, FORM), 3, 0.5, 3, 1).collect()}
+    got = {r["doc_id"]: (r["size"], sorted(np.frombuffer(r["grams"], "<u8"))) for r in nj.partner_candidates(spark.createDataFrame(rows, FORM), 3, 0.5, nj.HOT, 5).collect()}
+    assert set(want) >= set(got) and got and all(len(got[d][1]) <= len(want[d][1]) for d in got)
+
+
 def test_many_copies(spark):
     rows = [(i, "the very same words in every one of these texts") for i in range(2000)] + [(5000, "the very same words in every one of these texts and more")]
     got = nj.near_duplicates(spark.createDataFrame(rows, FORM)).collect()
