@@ -109,15 +109,31 @@ def test_neighbours_against_brute_force(spark):
         assert [round(cosine(n, m), 5) for m in got[n]] == [round(-s, 5) for s, _ in found] or np.allclose([cosine(n, m) for m in got[n]], [-s for s, _ in found], atol=2e-6)
 
 
-def test_long_postings_lose_little(monkeypatch):
-    rng = np.random.default_rng(4)
+def test_long_postings_lose_nothing():
+    """All pairs of a word's vectors meet, once, whether its blocks are one or many."""
     word = np.repeat(np.array([5, 9], np.uint64), [300, 30])
-    node, like = np.concatenate([np.arange(300), np.arange(30)]), rng.integers(0, 50, 330).astype(np.uint32)
-    a, b, _ = packing.pairs_of(word, like, node, np.ones(330, np.float32))
-    met = {n: 0 for n in range(300)}
-    for x, y in zip(a.tolist(), b.tolist()):
-        met[x], met[y] = met[x] + 1, met[y] + 1
-    assert len(a) == sum(min(packing.REACH, 299 - i) for i in range(300)) + 30 * 29 // 2 and min(met.values()) >= packing.REACH
+    node = np.concatenate([np.arange(300), np.arange(30)])
+    for block in (1000, 64):
+        row, key, side = packing.dealt(word, node, np.repeat([300, 30], [300, 30]), block)
+        a, b, _ = packing.pairs_of(key, side, node[row], np.ones(len(row), np.float32))
+        met = sorted((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist()))
+        assert met == sorted([(x, y) for n in (300, 30) for y in range(n) for x in range(y)])
+
+
+def test_neighbours_through_common_words(spark):
+    """Texts of words that all hold have their true neighbours too."""
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"t{w}" for w in range(6) for _ in range(rng.integers(1, 30)))) for i in range(150)] + [(200 + i, f"x{i}") for i in range(40)]
+    frame, held = packing.document_vectors(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    vectors = {r["node"]: dict(zip(np.frombuffer(r["words"], "<u8").tolist(), np.frombuffer(r["weights"], "<f4").astype(float))) for r in frame.collect()}
+    want = brute_near(vectors, 4)
+    assert len(want) > packing.POSTING
+    cosine = lambda a, b: sum(vectors[a][w] * vectors[b].get(w, 0) for w in vectors[a])
+    for block in (packing.BLOCK, 20):
+        got = {r["node"]: r["near"] for r in packing.neighbours(frame, held, 4, block).collect()}
+        assert set(got) == set(want)
+        for n, found in want.items():
+            assert np.allclose([cosine(n, m) for m in got[n]], [-s for s, _ in found], atol=2e-6)
 
 
 def test_lines_lose_no_edge_at_a_border(spark):
