@@ -136,6 +136,40 @@ def test_neighbours_through_common_words(spark):
             assert np.allclose([cosine(n, m) for m in got[n]], [-s for s, _ in found], atol=2e-6)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    return sum(s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())))
+
+
+def test_what_is_sent_grows_as_the_vectors_do(spark):
+    """Vectors that all share a word don't send each pair of them; their neighbours are the true ones."""
+    rng = np.random.default_rng(4)
+    vectors, sent = {}, []
+    for n in (500, 2000):
+        held = np.zeros(packing.SLOTS, np.int64)
+        rows = []
+        for i in range(n):
+            words = np.unique(np.concatenate([[7 << 44], (rng.integers(10, 10 + n // 20, 3) << 44)])).astype("<u8")
+            weights = rng.uniform(0.1, 1, len(words))
+            weights = (weights / np.sqrt((weights**2).sum())).astype("<f4")
+            held[(words >> np.uint64(44)).astype(int)] += 1
+            rows.append((i, words.tobytes(), weights.tobytes()))
+        frame = spark.createDataFrame(rows, "node bigint, words binary, weights binary").repartition(2)
+        before = shuffled(spark)
+        got = {r["node"]: r["near"] for r in packing.neighbours(frame, held, 4).collect()}
+        sent.append(shuffled(spark) - before)
+        vectors = {i: dict(zip(np.frombuffer(w, "<u8").tolist(), np.frombuffer(v, "<f4").astype(float))) for i, w, v in rows}
+        if n == 500:
+            want = brute_near(vectors, 4)
+            cosine = lambda a, b: sum(vectors[a][w] * vectors[b].get(w, 0) for w in vectors[a])
+            assert set(got) == set(want)
+            assert all(np.allclose([cosine(i, m) for m in got[i]], [-s for s, _ in found], atol=2e-6) for i, found in want.items())
+    assert sent[1] < 6 * sent[0], sent
+
+
 def test_lines_lose_no_edge_at_a_border(spark):
     """A chain, cut into small cells, is one line again; what hangs together is walked through whatever the cells."""
     chain = [(i, [j for j in (i + 1, i - 1) if 0 <= j < 120]) for i in range(120)]
