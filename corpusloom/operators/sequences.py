@@ -187,7 +187,7 @@ def window_types(docs: DataFrame, unit: Sequence[str], size: int, step: int | No
     """
     step = step or size
     words = F.regexp_extract_all("text", F.lit(LEXICAL), F.lit(0))
-    rows = docs.select(*unit, "doc_id", words.alias("_w")).select(*unit, "doc_id", F.size("_w").cast("bigint").alias("_n"), F.array_join("_w", " ").alias("_w"))
+    rows = docs.select(*unit, "doc_id", words.alias("_w")).select(*unit, "doc_id", F.size("_w").cast("bigint").alias("_n"), F.lower(F.array_join("_w", " ")).alias("_w"))
     before = Window.partitionBy(*unit).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_from", F.sum("_n").over(before) - F.col("_n")).withColumn("n", F.sum("_n").over(Window.partitionBy(*unit))).filter("_n > 0")
     full = F.when(F.col("n") >= size, F.floor((F.col("n") - size) / step) + 1).otherwise(0)
@@ -201,5 +201,5 @@ def window_types(docs: DataFrame, unit: Sequence[str], size: int, step: int | No
     parts = rows.select(*unit, "sample_index", F.array_join("_w", " ").alias("_w")).repartition(*unit, "sample_index")
     whole = F.split(F.array_join(F.collect_list("_w"), " "), " ")
     found = parts.groupBy(*unit, "sample_index").agg(whole.alias("_w"))
-    types = F.size(F.array_distinct(F.transform("_w", F.lower))).cast("bigint")
+    types = F.size(F.array_distinct("_w")).cast("bigint")
     return found.select(*unit, "sample_index", F.size("_w").cast("bigint").alias("tokens"), types.alias("types"))
